@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenetry.llm import copies, frequency, leakage, relevance, survivors
+from tenetry.llm import copies, frequency, leakage, neardup, packing, relevance, survivors
 from tenetry.session import table
 
 
@@ -30,6 +30,17 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequency.merge(None, frequency.deltas(table(spark, d, "beliefs")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(neardup.belief_texts(table(spark, d, "beliefs")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per text with its group and number of links; the group's number is left out, as it is only a label."""
+    g = neardup.groups(neardup.belief_texts(table(spark, d, "beliefs")))
+    heads = g.groupBy("field", "group").agg(F.min("key").alias("group_key"), F.count(F.lit(1)).alias("members"))
+    return g.join(heads, ["field", "group"]).select("field", "key", "group_key", "members", "links")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(table(spark, d, "beliefs")).where("copies > 1").select("group_id", "id")
 
@@ -43,6 +54,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return relevance.score_terms(table(spark, d, "beliefs")).where("tf >= 3 and df <= 3").select("id", "term")
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text placed in containers of the window named large."""
+    capacity = table(spark, d, "context_windows").where("window_name = 'large'").first()["capacity"]
+    return packing.pack(table(spark, d, "documents"), capacity)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(table(spark, d, "documents"), table(spark, d, "context_windows"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -93,6 +114,15 @@ counts as (select field, term, count(*) as occurrences, count(distinct id) as re
         ),
         "p3_found": f"with {terms}, n as (select count(*) as n from beliefs) select field, term, case when records < 3 then 'rare' else 'common' end as mark from counts, n where records < 3 or records > n * 0.1",
         "p3_counts": f"with {terms} select field, term, occurrences, records from counts",
+        "p5_found": f"""with texts as (select 'statement' as field, id as key, statement as text from beliefs union all select 'snippet', e.id, e.snippet from (select unnest(evidence) as e from beliefs)),
+{_CANON.replace("beliefs b", "(select text as statement, * exclude (text) from texts) b")},
+sets as (select field, key, k, list_distinct(ws) as s from keyed where k is not null),
+w as (select field, key, len(s) as n, unnest(s) as word from sets),
+freq as (select word, count(*) as c from w group by 1),
+pre as (select field, key, word from (select w.*, row_number() over (partition by field, key order by c, word) as r from w join freq using (word)) where r <= n - ceil(0.7 * n - 1e-9) + 1),
+cand as (select distinct a.field, a.key as key_a, b.key as key_b from pre a join pre b on a.field = b.field and a.word = b.word and a.key < b.key)
+select c.field, key_a, key_b from cand c join sets a on a.field = c.field and a.key = key_a join sets b on b.field = c.field and b.key = key_b
+where a.k <> b.k and 10 * len(list_intersect(a.s, b.s)) >= 7 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""",
         "p6_found": f"{_GROUPS} select group_id, id from members where copies > 1",
         "p6_records": f"{_GROUPS} select group_id, copies from members where id = group_id union all select id, 1 from keyed where k is null",
         "p7_found": f"""with ws as (select id, unnest({_WORDS.format(text)}) as term from beliefs),
