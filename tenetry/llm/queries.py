@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenetry.llm import copies, frequency, leakage, neardup, packing, relevance, survivors
+from tenetry.llm import copies, frequency, leakage, neardup, packing, relevance, sentences, survivors
 from tenetry.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = sentences.sentences(table(spark, d, "ingest_requests"))
+    return found.select("request_id", F.col("start").alias("sent_start"), F.col("end").alias("sent_end"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.suppliers(table(spark, d, "beliefs"))
 
