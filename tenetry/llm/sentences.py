@@ -91,7 +91,7 @@ def _masked(s: Column) -> Column:
         (rf"(?i)(?<![\p{{L}}\p{{N}}])({_alternatives(_INNER)})\.(?!\s*(?:$|{HARD}))", "$1" + MASK),
         (r"(?<![\p{L}\p{N}\p{M}])(\p{L})\.(?=[\s\p{L}\p{N},;)])", "$1" + MASK),
         (rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(\p{{L}}{MASK}[  ]?\p{{L}})\.(?=\s)", "$1" + MASK),
-        (r"(डॉ|प्रो|श्री|ดร|น|أ|م)\.(?=\s)", "$1" + MASK),
+        (r"(?<![\p{L}\p{M}])(डॉ|प्रो|श्री|ดร|น|أ|م)\.(?=\s)", "$1" + MASK),
         (rf"(?<=(?<!\p{{N}})\p{{N}}{{1,2}})\.(?=\s+(?:{_MONTHS})(?!\p{{L}}))", MASK),
         # the same sentence goes on after an ellipsis and a small letter
         (rf"…(?=…*{_CLOSERS}*\s+{_SMALL})", MASK),
