@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenetry.llm import copies, frequency, leakage, neardup, packing, relevance, sentences, survivors
+from tenetry.llm import copies, frequency, leakage, neardup, packing, pii, relevance, sentences, survivors
 from tenetry.session import table
 
 
@@ -73,6 +73,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(table(spark, d, "documents")).select("doc_id", "kind", "span_start", "span_end")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 
