@@ -24,6 +24,7 @@ TENTHS = 7
 FREQUENT_SHARE, FREQUENT_LEAST = 65_536, 64
 #: Texts of more distinct words use single-word masks, whose number grows with the length and not with its square.
 PAIR_MASKS_UP_TO = 64
+_SIZE_MASK = 0xFFFF
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -40,7 +41,9 @@ def masks(flat: np.ndarray, size: np.ndarray, keys: np.ndarray, counts: np.ndarr
     frequent words, sorted by hash."""
     row = np.repeat(np.arange(len(size)), size)
     off = np.r_[0, np.cumsum(size)[:-1]]
-    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat >> np.uint64(58)), off)
+    # 40 parity bits above the number of words; a text of more words than 16 bits can hold passes every sketch test
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << ((flat >> np.uint64(32)) % np.uint64(40)), off)
+    sketch = (parity << np.uint64(16)) | np.minimum(size, _SIZE_MASK).astype(np.uint64)
     if len(keys):
         k = np.searchsorted(keys, flat).clip(max=len(keys) - 1)
         freq = np.where(keys[k] == flat, counts[k], 0)
@@ -91,15 +94,17 @@ def _signatures(held, tenths: int):
                 continue
             size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             key, who, sketch = masks(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), size, keys, counts, tenths)
-            cols = [key.view(np.int64) ^ field[who], cls[who], sketch[who].view(np.int64), size[who].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["mask", "cls", "sketch", "n"])
+            short = ((key ^ field.view(np.uint64)[who]) >> np.uint64(33)).astype(np.int32)  # 31 bits: a chance meeting only costs a comparison
+            cols = [short, cls[who], sketch[who].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["mask", "cls", "sketch"])
 
     return run
 
 
 def _classed(texts: DataFrame) -> DataFrame:
     """(field, key, cls, normed) of the texts that have a word; cls stands for the field and the canonical text."""
-    c = texts.select("field", "key", canonical(F.col("text")).alias("c"), norm(F.col("text")).alias("normed")).where("c is not null and key is not null")
+    normed = texts.where("key is not null").select("field", "key", "text", norm(F.col("text")).alias("normed"))
+    c = normed.select("field", "key", canonical(F.col("text"), F.col("normed")).alias("c"), "normed").where("c is not null")
     return c.select("field", "key", F.xxhash64("field", "c").alias("cls"), "normed")
 
 
@@ -107,19 +112,25 @@ def _distinct_words(normed: Column) -> Column:
     return F.array_distinct(split_words(normed))
 
 
+def _hashes(normed: Column) -> Column:
+    return F.transform(_distinct_words(normed), lambda w: F.xxhash64(w))
+
+
 def candidates(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     """Distinct class pairs (a, b), a < b, that share a mask and whose sketches allow the similarity."""
     spark = texts.sparkSession
-    hashed = _classed(texts).select("cls", F.transform(_distinct_words(F.col("normed")), lambda w: F.xxhash64(w)).alias("w"), F.xxhash64("field").alias("field"))
-    count = hashed.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(f"n > {FREQUENT_LEAST}")
+    count = texts.select(F.explode(_hashes(norm(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(f"n > {FREQUENT_LEAST}")
     top = materialize(count, "frequent")
     total = top.agg(F.sum("n")).first()[0] or 0
     frequent = sorted((r["w"] & (2**64 - 1), r["n"]) for r in top.where(F.col("n") > total / FREQUENT_SHARE).collect())  # at most FREQUENT_SHARE rows
     held = spark.sparkContext.broadcast((np.array([k for k, _ in frequent], np.uint64), np.array([n for _, n in frequent], np.int64)))
-    sig = hashed.mapInArrow(_signatures(held, tenths), "mask bigint, cls bigint, sketch bigint, n int").repartition("mask")
-    a, b = (sig.select("mask", *(F.col(c).alias(c + s) for c in ("cls", "sketch", "n"))) for s in ("_a", "_b"))
-    differ = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
-    near = (F.col("cls_a") < F.col("cls_b")) & (differ * (10 + tenths) <= (F.col("n_a") + F.col("n_b")) * (10 - tenths))
+    hashed = _classed(texts).select("cls", _hashes(F.col("normed")).alias("w"), F.xxhash64("field").alias("field"))
+    sig = hashed.mapInArrow(_signatures(held, tenths), "mask int, cls bigint, sketch bigint").repartition("mask")
+    a, b = (sig.select("mask", *(F.col(c).alias(c + s) for c in ("cls", "sketch"))) for s in ("_a", "_b"))
+    # the low 16 bits of a sketch are the number of words, the others their parities
+    n = lambda s: F.col(s).bitwiseAND(F.lit(_SIZE_MASK))
+    differ = F.bit_count(F.shiftright(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")), 16))
+    near = (F.col("cls_a") < F.col("cls_b")) & (differ * (10 + tenths) <= (n("sketch_a") + n("sketch_b")) * (10 - tenths))
     return a.join(b, (a["mask"] == b["mask"]) & near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
@@ -136,7 +147,8 @@ def near_pairs(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     wa, wb = _distinct_words(F.col("t_a")), _distinct_words(F.col("t_b"))
     common = F.size(F.array_intersect(wa, wb))
     met = met.withColumn("common", common).withColumn("total", F.size(wa) + F.size(wb) - F.col("common"))
-    real = met.where(f"common * 10 >= total * {tenths} and key_a <> key_b")
+    # both sides keep the field, so that one shuffle of the texts serves both
+    real = met.where(f"common * 10 >= total * {tenths} and key_a <> key_b and field_a = field_b")
     return real.select(F.col("field_a").alias("field"), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 

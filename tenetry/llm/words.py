@@ -5,13 +5,17 @@ else only separates words. Nulls stay null in the string forms and give empty ar
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names under which a statement may list its parts.
 FIELD_NAMES = ("subject", "relation", "object", "since", "unit")
 _FIELD = r"^[^\p{L}\p{N}:=]*(?i:" + "|".join(FIELD_NAMES) + r")[^\p{L}\p{N}:=]*[:=]"
-_PARTS = r"[;|\r\n\x0B\x0C\x85  ]+"
+_BREAKS = ";|\n\r\x0b\x0c\x85\u2028\u2029"
+_PARTS = f"[{_BREAKS}]+"
 
 
 def let(value: Column, body) -> Column:
@@ -33,16 +37,18 @@ def words(text: Column) -> Column:
     return split_words(norm(text))
 
 
-def canonical(statement: Column) -> Column:
+def canonical(statement: Column, normed: Column | None = None) -> Column:
     """One string per way of stating the same thing.
 
     Statements with the same words in the same order are equal; a statement made only of three or more named
-    fields equals those with the same fields in any order. Null for null statements and for ones without a word."""
+    fields equals those with the same fields in any order. Null for null statements and for ones without a word.
+    ``normed`` is :func:`norm` of the statement, where the caller has it already."""
     parts = F.filter(F.split(statement, _PARTS), lambda p: p.rlike(r"[\p{L}\p{N}]"))
-    # the cheap test keeps the array work off the statements that list nothing
-    listed = statement.rlike(r"[;|\r\n\x0B\x0C\x85  ]") & (F.size(parts) >= 3) & F.forall(parts, lambda p: p.rlike(_FIELD))
+    # plain byte searches keep the array work off the statements that list nothing
+    parted = reduce(or_, (F.contains(statement, F.lit(c)) for c in _BREAKS)) & (F.contains(statement, F.lit(":")) | F.contains(statement, F.lit("=")))
+    listed = parted & (F.size(parts) >= 3) & F.forall(parts, lambda p: p.rlike(_FIELD))
     fields = F.concat(F.lit("\u0002"), F.array_join(F.array_sort(F.transform(parts, norm)), "\u0001"))
-    plain = norm(statement)
+    plain = norm(statement) if normed is None else normed
     return F.when(listed, fields).when(plain != "", plain)
 
 
