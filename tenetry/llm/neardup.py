@@ -21,10 +21,11 @@ from tenetry.session import materialize
 #: Common words per words in either, in tenths.
 TENTHS = 7
 #: A word is frequent if it has more than one in FREQUENT_SHARE of all occurrences, so at most as many words are broadcast.
-FREQUENT_SHARE, FREQUENT_LEAST = 65_536, 64
+FREQUENT_SHARE, FREQUENT_LEAST = 16_384, 64
 #: Texts of more distinct words use single-word masks, whose number grows with the length and not with its square.
 PAIR_MASKS_UP_TO = 64
-_SIZE_MASK = 0xFFFF
+_SIZE_BITS = 12
+_SIZE_MASK = (1 << _SIZE_BITS) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -41,9 +42,9 @@ def masks(flat: np.ndarray, size: np.ndarray, keys: np.ndarray, counts: np.ndarr
     frequent words, sorted by hash."""
     row = np.repeat(np.arange(len(size)), size)
     off = np.r_[0, np.cumsum(size)[:-1]]
-    # 40 parity bits above the number of words; a text of more words than 16 bits can hold passes every sketch test
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << ((flat >> np.uint64(32)) % np.uint64(40)), off)
-    sketch = (parity << np.uint64(16)) | np.minimum(size, _SIZE_MASK).astype(np.uint64)
+    # parity bits above the number of words, as far as it fits; the comparison word by word has the exact numbers
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << ((flat >> np.uint64(32)) % np.uint64(64 - _SIZE_BITS)), off)
+    sketch = (parity << np.uint64(_SIZE_BITS)) | np.minimum(size, _SIZE_MASK).astype(np.uint64)
     if len(keys):
         k = np.searchsorted(keys, flat).clip(max=len(keys) - 1)
         freq = np.where(keys[k] == flat, counts[k], 0)
@@ -127,10 +128,9 @@ def candidates(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     hashed = _classed(texts).select("cls", _hashes(F.col("normed")).alias("w"), F.xxhash64("field").alias("field"))
     sig = hashed.mapInArrow(_signatures(held, tenths), "mask int, cls bigint, sketch bigint").repartition("mask")
     a, b = (sig.select("mask", *(F.col(c).alias(c + s) for c in ("cls", "sketch"))) for s in ("_a", "_b"))
-    # the low 16 bits of a sketch are the number of words, the others their parities
     n = lambda s: F.col(s).bitwiseAND(F.lit(_SIZE_MASK))
-    differ = F.bit_count(F.shiftright(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")), 16))
-    near = (F.col("cls_a") < F.col("cls_b")) & (differ * (10 + tenths) <= (n("sketch_a") + n("sketch_b")) * (10 - tenths))
+    differ = F.bit_count(F.shiftright(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")), _SIZE_BITS))
+    near = (F.col("cls_a") < F.col("cls_b")) & ((n("sketch_a") == _SIZE_MASK) | (n("sketch_b") == _SIZE_MASK) | (differ * (10 + tenths) <= (n("sketch_a") + n("sketch_b")) * (10 - tenths)))
     return a.join(b, (a["mask"] == b["mask"]) & near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
