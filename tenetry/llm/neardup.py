@@ -3,7 +3,7 @@
 Two texts whose common words are at least ``THRESHOLD`` of all their words share at least two of each one's
 n - ceil(THRESHOLD * n) + 2 rarest words. The masks of a text are the single rare words and the pairs of not so rare words
 within that prefix, so every pair in reach meets in some table, with no draw of chance. A pair that meets is first held
-against the 64-bit parity sketches (each word flips one bit, so they differ in no more bits than the texts do in words)
+against 52-bit parity sketches (each word flips one bit, so they differ in no more bits than the texts do in words)
 and then compared word by word. Texts with the same canonical form are one class and meet once."""
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def candidates(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     sig = hashed.mapInArrow(_signatures(held, tenths), "mask int, cls bigint, sketch bigint").repartition("mask")
     a, b = (sig.select("mask", *(F.col(c).alias(c + s) for c in ("cls", "sketch"))) for s in ("_a", "_b"))
     n = lambda s: F.col(s).bitwiseAND(F.lit(_SIZE_MASK))
-    differ = F.bit_count(F.shiftright(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")), _SIZE_BITS))
+    differ = F.bit_count(F.shiftrightunsigned(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")), _SIZE_BITS))
     near = (F.col("cls_a") < F.col("cls_b")) & ((n("sketch_a") == _SIZE_MASK) | (n("sketch_b") == _SIZE_MASK) | (differ * (10 + tenths) <= (n("sketch_a") + n("sketch_b")) * (10 - tenths)))
     return a.join(b, (a["mask"] == b["mask"]) & near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
