@@ -21,7 +21,7 @@ from tenetry.session import materialize
 #: Common words per words in either, in tenths.
 TENTHS = 7
 #: A word is frequent if it has more than one in FREQUENT_SHARE of all occurrences, so at most as many words are broadcast.
-FREQUENT_SHARE, FREQUENT_LEAST = 16_384, 64
+FREQUENT_SHARE, FREQUENT_LEAST = 8_192, 64
 #: Texts of more distinct words use single-word masks, whose number grows with the length and not with its square.
 PAIR_MASKS_UP_TO = 64
 _SIZE_BITS = 12
@@ -147,8 +147,8 @@ def near_pairs(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     wa, wb = _distinct_words(F.col("t_a")), _distinct_words(F.col("t_b"))
     common = F.size(F.array_intersect(wa, wb))
     met = met.withColumn("common", common).withColumn("total", F.size(wa) + F.size(wb) - F.col("common"))
-    # both sides keep the field, so that one shuffle of the texts serves both
-    real = met.where(f"common * 10 >= total * {tenths} and key_a <> key_b and field_a = field_b")
+    # both sides keep the field, and it is no join key, so that one shuffle of the texts serves both
+    real = met.where(f"common * 10 >= total * {tenths} and key_a <> key_b and least(field_a, field_b) = greatest(field_a, field_b)")
     return real.select(F.col("field_a").alias("field"), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 
