@@ -271,7 +271,7 @@ def hash_embed(spark, d):
 
 @query
 def vector_topk(spark, d):
-    return retrieval.vector_retrieve(beliefs(spark, d), asked(spark, d)).select("query_id", "id", F.round("similarity", 5).alias("similarity"), F.round("score", 5).alias("score"))
+    return retrieval.vector_retrieve(beliefs(spark, d), asked(spark, d)).select("query_id", "id", "similarity", "score")
 
 
 @query

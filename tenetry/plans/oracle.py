@@ -19,16 +19,23 @@ def _stem(w: str) -> str:
     return f"case when len({w}) > 3 and {w} like '%s' and not regexp_matches({w}, '(ss|us|is)$') then left({w}, len({w}) - 1) else {w} end"
 
 
+_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
 def _norm(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 _KIND = f"case when list_contains({_list(SOURCE_PRIOR)}, lower(trim(source))) then lower(trim(source)) else 'unknown' end"
 _PRIOR = "(case source " + " ".join(f"when '{k}' then {v}" for k, v in SOURCE_PRIOR.items()) + " else 0.5 end)::double"
-B = f"""b as (select id, trim(statement) as statement, case when confidence between 0 and 1 then confidence else 0.5 end as confidence,
+B = f"""b as (select id, {_strip("statement")} as statement, case when confidence between 0 and 1 then confidence else 0.5 end as confidence,
  coalesce(evidence, []) as evidence, list_distinct(list_filter(coalesce(connections, []), lambda c: c is not null and c <> '')) as connections,
  {_KIND} as source, coalesce(tier, 'general') as tier, scope, created_at, updated_at, coalesce(confidence_at, updated_at) as confidence_at,
- coalesce(history, []) as history, superseded_by from beliefs where trim(statement) <> '')"""
+ coalesce(history, []) as history, superseded_by from beliefs where {_strip("statement")} <> '')"""
 _TEXT = "concat_ws(' ', statement, list_aggregate(list_transform(evidence, lambda e: coalesce(e.snippet, '')), 'string_agg', ' '))"
 _DOCS = f"{B}, docs as (select *, {_tokens(_TEXT)} as tokens from b where superseded_by is null), post as (select id, term, count(*) as tf from (select id, unnest(tokens) as term from docs) group by 1, 2)"
 _IDF = f"{_DOCS}, idf as (select term, count(*) as df, ln(((select count(*) from docs) + 1.0) / (count(*) + 1)) + 1 as idf from post group by 1)"
@@ -69,14 +76,9 @@ own as (select distinct s.start from starts s join edges e on e.belief_id = s.st
 hop1 as (select o.start, e.concept from own o join edges e on e.belief_id = o.start),
 hop2 as (select h.start, e.belief_id, min('c:' || h.concept) as via from hop1 h join edges e on e.concept = h.concept where e.belief_id <> h.start group by 1, 2)"""
 _LINES = r"regexp_split_to_array(text, '\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]')"
-_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _VERB = f"list_contains({_list(VERBS)}, lower({{}}))"
 
 
-def _strip(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
-
-
 def _squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
 
@@ -104,6 +106,31 @@ def _explode(cte: str, source: str, col: str, name: str) -> str:
     return f"with {cte} select request_id, unnest(range(len({col}))) as pos, unnest({col}) as {name} from {source}"
 
 
+def _embed(rows: str) -> str:
+    """Unit vectors of signed feature hashes of rows (key, text): the low bits of FNV-1a depend on low bits only."""
+    slot = "list_reduce(list_prepend(805, list_transform(string_split({}, ''), lambda c: ord(c))), lambda h, c: (xor(h, c) * 435) % 1024)"
+    return f"""rws as ({rows}), tk as (select key, unnest({_tokens("text")}) as w from rws),
+feat as (select key, w as f, 1.0 as weight from tk union all select key, {_stem("w")}, 0.8 from tk where {_stem("w")} <> w
+ union all select key, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])), 0.35 from tk where len(w) > 4),
+hashed as (select f, {slot.format("f")} as dim, case when {slot.format("(f || '#')")} % 2 = 1 then 1.0 else -1.0 end as s from (select distinct f from feat)),
+acc as (select key, dim, round(sum(weight * s)::double, 9) as v from feat join hashed using (f) group by 1, 2 having round(sum(weight * s)::double, 9) <> 0),
+unit as (select key, dim, v / sqrt(sum(v * v) over (partition by key)) as weight from acc)"""
+
+
+
+
+def _words_of(x: str) -> str:
+    return f"string_split({_squeeze(x)}, ' ')"
+
+
+_IS_VERB = f"list_contains({_list(VERBS)}, lower(regexp_replace(w, '^,+|,+$', '', 'g')))"
+_PARTS = f"""pc as (select *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(statement, '[.!?]+$', ''), '(?i)({_WS}*;{_WS}+|,?{_WS}+and{_WS}+|,?{_WS}+but{_WS}+)', chr(1), 'g'), chr(1)), lambda p: {_strip("p")}), lambda p: p <> '') as ps from b),
+sj as (select *, list_position(list_transform({_words_of("ps[1]")}, lambda w: {_IS_VERB}), true) as v from pc),
+su as (select *, case when v > 0 then array_to_string({_words_of("ps[1]")}[1:v - 1], ' ') else '' end as subj from sj),
+fu as (select *, list_transform(ps, lambda p: case when list_contains({_list(VERBS)}, lower({_words_of("p")}[1])) and subj <> '' then subj || ' ' || p else p end) as fs from su),
+parts as (select *, len(ps) >= 2 and len(list_filter(ps, lambda p: len(list_filter({_words_of("p")}, lambda w: {_IS_VERB})) = 0)) = 0 and len(list_filter(fs, lambda f: len({_words_of("f")}) < 3)) = 0 as fine from fu)"""
+
+
 def sql() -> dict[str, str]:
     out = {
         "p4_found": """with s as (select run_id, started_at, lag(started_at) over (order by started_at, run_id) as prev from index_runs where status = 'succeeded'),
@@ -185,15 +212,43 @@ m as (select h.start, h.belief_id as id, y.confidence, -0.3 * 0.5 * case when le
  from hop2 h join s x on x.id = h.start join s y on y.id = h.belief_id)
 select start, start as id, 0 as hops, round(least(greatest(confidence - 0.3, 0), 1), 6) as confidence from starts join b on b.id = start
  union all select start, id, 1, round(least(greatest(confidence + d, 0), 1), 6) from m where abs(d) >= 1e-9""",
+        "split_claims": f"""with {B}, {_PARTS} select id, unnest(range(len(fs))) as pos, unnest(list_transform(fs, lambda f: upper(f[1]) || f[2:] || '.')) as part from parts where fine""",
+        "split_registry": f"""with {B}, {_PARTS}, c as (select id, confidence, history, unnest(range(len(fs))) as pos, unnest(list_transform(fs, lambda f: upper(f[1]) || f[2:] || '.')) as statement from parts where fine)
+select md5(id || ':' || pos) as id, statement, confidence, least(len(history) + 1, 100) as n_history from c union all select id, statement, confidence, len(history) from parts where not fine""",
+        "ground_report": f"""with recursive {_SENT},
+tok as (select request_id, list_filter(ss, lambda x: not ends_with(x, '?') and len({_tokens("x")}) > 0) as cs, {_strip("text")} as whole from sents join ingest_requests using (request_id)),
+cl as (select request_id, unnest(case when len(cs) > 0 then cs when whole <> '' then [whole] else [] end) as claim from tok),
+{_retrieve("select claim as query_id, claim as query, null::varchar as q_tier, null::varchar as q_scope from (select distinct claim from cl)", 1)},
+k as (select qs.query_id as claim, h.score, list_distinct({_tokens("query")}) as wanted, d.tokens from qs left join hits h using (query_id) left join docs d on d.id = h.id),
+v as (select claim, coalesce(score >= {SUPPORTED_AT} and len(wanted) > 0 and round(len(list_intersect(wanted, list_distinct(tokens))) * 1.0 / len(wanted), 6) >= {COVERAGE_AT}, false) as ok from k),
+g as (select request_id, count(*) as claims, count(*) filter (where ok) as supported from cl join v using (claim) group by 1)
+select r.request_id as answer_id, coalesce(claims, 0) as claims, coalesce(supported, 0) as supported, case when claims > 0 then round(supported * 1.0 / claims, 4) else 0.0 end as score from ingest_requests r left join g using (request_id)""",
+        "hash_embed": f"with {_embed('select query_id as key, query as text from query_requests where query is not null')} select key as query_id, dim, round(weight, 6) as weight from unit",
+        "vector_topk": f"""with {B}, {_embed(f"select 'b' || id as key, {_TEXT} as text from b where superseded_by is null union all select distinct 'q' || query, query from query_requests where query is not null")},
+sims as (select q.key as qkey, d.key[2:] as id, round(sum(q.weight * d.weight), 9) as similarity from unit q join unit d on q.dim = d.dim and q.key like 'q%' and d.key like 'b%' group by 1, 2),
+near as (select *, row_number() over (partition by qkey order by similarity desc, id) as r from sims),
+sc as (select qkey, b.id, similarity, round(similarity * confidence, 6) as score from near join b using (id) where r <= 15 and similarity >= 0.12),
+best as (select *, row_number() over (partition by qkey order by score desc, id) as r from sc)
+select query_id, id, similarity, score from query_requests q join best on best.qkey = 'q' || q.query where r <= 5""",
+        "select_exact": f"""with {_retrieve(_ASKED, 12)}, m as (select query_id, rank - 1 as pos, id, score, greatest(len({_tokens("statement")}), 1) as cost, {_SETS} as s from hits join b using (id)),
+top as (select query_id, max(score) as peak, count(*) as n from m group by 1), lin as (select query_id, pos, id, cost, score / case when peak = 0 then 1 else peak end as r, s, n from m join top using (query_id)),
+sim as (select x.query_id, x.pos as i, y.pos as j, (x.r + y.r) / 2 * len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) as w
+ from lin x join lin y on x.query_id = y.query_id and x.pos < y.pos where len(x.s) > 0 and len(y.s) > 0),
+sub as (select query_id, unnest(range(0, (1 << n)::bigint)) as bits from top),
+e1 as (select s.query_id, s.bits, sum(case when (bits >> pos) & 1 = 1 then -r else 0 end) as e, sum(case when (bits >> pos) & 1 = 1 then cost else 0 end) as cost from sub s join lin l using (query_id) group by 1, 2),
+ok as (select e1.* from e1 join query_requests q using (query_id) where cost <= coalesce(q.budget, 60)),
+e2 as (select o.query_id, o.bits, any_value(o.e) + coalesce(sum(case when (bits >> i) & 1 = 1 and (bits >> j) & 1 = 1 then w else 0 end), 0) as e from ok o left join sim using (query_id) group by 1, 2),
+win as (select query_id, arg_min(bits, {{'e': round(e, 9), 'n': bit_count(bits), 'b': -list_sum(list_transform(range(12), lambda k: ((bits >> k) & 1) << (11 - k)))}}) as bits, min(round(e, 9)) as e from (select *, bits as bb from e2) group by 1)
+select l.query_id, l.pos, l.id, l.cost, round(e, 5) as energy from win join lin l using (query_id) where (bits >> pos) & 1 = 1""",
         "contradictions": f"with {B}, {_clashes('select * from b', 0.6)} select affirmed, negated, overlap from clashes",
         "contradiction_winners": f"""with {B}, {_clashes("select * from b", 0.6)},
-w as (select id, confidence * (1 + coalesce({_WEIGHT.format("true")}, 0) - coalesce({_WEIGHT.format("false")}, 0)) as w from b),
-j as (select c.*, x.w as wa, y.w as wn from clashes c join w x on x.id = affirmed join w y on y.id = negated)
+ws as (select id, confidence * (1 + coalesce({_WEIGHT.format("true")}, 0) - coalesce({_WEIGHT.format("false")}, 0)) as w from b),
+j as (select c.*, x.w as wa, y.w as wn from clashes c join ws x on x.id = affirmed join ws y on y.id = negated)
 select affirmed, negated, overlap, case when wa >= wn then affirmed else negated end as winner, case when wa >= wn then negated else affirmed end as loser, round(abs(wa - wn), 6) as margin from j""",
         "order_contradictions": f"""with li as (select l_orderkey, avg(case when l_linestatus = 'F' then 1.0 else 0.0 end) >= 0.5 as done from lineitem group by 1),
 o as (select 'o' || o_orderkey as id, 'Order ' || o_orderkey || case when o_orderstatus = 'F' then ' is finished.' else ' is not finished.' end as statement, null as superseded_by from orders
  union all select 'l' || l_orderkey, 'Order ' || l_orderkey || case when done then ' is finished.' else ' is not finished.' end, null from li),
 s as (select id, {_POLARITY} as neg, list_sort({_CONTENT}) as words from o)
-select a.id as affirmed, n.id as negated, 1.0 as overlap from s a join s n on a.words = n.words and a.neg = 0 and n.neg = 1 where len(a.words) > 0""",
+select a.id as affirmed, n.id as negated, 1.0::double as overlap from s a join s n on a.words = n.words and a.neg = 0 and n.neg = 1 where len(a.words) > 0""",
     }
     return out

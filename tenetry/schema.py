@@ -66,9 +66,10 @@ def conform(beliefs: DataFrame) -> DataFrame:
 
     Rows without a statement are no beliefs and are left out. A missing or impossible confidence is the default 0.5."""
     ok = F.col("confidence").between(0, 1) & ~F.isnan("confidence")
-    return beliefs.where(F.trim("statement") != "").select(
+    bare = F.regexp_replace("statement", r"(?U)^\s+|\s+$", "")
+    return beliefs.where(bare != "").select(
         "id",
-        F.trim("statement").alias("statement"),
+        bare.alias("statement"),
         F.when(ok, F.col("confidence")).otherwise(0.5).alias("confidence"),
         F.coalesce("evidence", F.array().cast(f"array<{EVIDENCE}>")).alias("evidence"),
         F.array_distinct(F.filter(F.coalesce("connections", F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != ""))).alias("connections"),
