@@ -86,7 +86,8 @@ class ChangeCapture:
     """The same capture run by run, with its plans, sink and commits as parquet under ``path`` (a shared folder).
 
     ``run`` returns what changed since the last successful run. Batches are numbered; batch n is done when its commit
-    exists. A plan without a commit is replayed with the ranges it holds before anything new is planned."""
+    exists, a run when its marker does. A plan without a commit is replayed with the ranges it holds before anything new is
+    planned. Offsets stay as they are as long as rows join the log in order of arrival."""
 
     spark: SparkSession
     path: str
@@ -108,9 +109,11 @@ class ChangeCapture:
     def run(self, saves: DataFrame, as_of: dt.datetime, fail_after: str | None = None) -> DataFrame:
         """Process what had arrived by ``as_of``. ``fail_after`` ('plan' or 'sink') breaks off there, as a lost driver would."""
         log = with_offsets(saves, self.partitions).where(F.col("arrived_at") <= F.lit(as_of).cast("timestamp_ntz"))
-        first = self._last("commits") + 1
-        if self._last("plans") == first:
-            self._process(log, first, None)
+        # what runs that broke off had committed was never handed out
+        first = self._last("runs") + 1
+        open_batch = self._last("commits") + 1
+        if self._last("plans") == open_batch:
+            self._process(log, open_batch, None)
         batch = self._last("commits") + 1
         done = self._read("plans") if batch else None
         ends = log.groupBy("part").agg(F.max("pos").alias("to_pos"))
@@ -123,6 +126,7 @@ class ChangeCapture:
         if fail_after == "plan":
             raise Interrupted("after the plan")
         self._process(log, batch, fail_after)
+        self._write(self.spark.range(1).select(F.lit(batch).alias("n")), f"runs/batch={batch}")
         out = self._read("sink")
         return out.where(F.col("batch") >= first).groupBy("id").agg(F.max("updated_at").alias("updated_at"))
 
