@@ -122,7 +122,7 @@ def _numbers(t: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
         s = m.group(0)
         base = re.sub(r",?\s?(?:ext\.?|x|Durchw\.|poste)\s?\d{1,5}$", "", s)
         plain = base.translate(_TO_ASCII)
-        if len(re.sub(r"\D", "", plain)) < 7:
+        if not base[0].isalpha() and len(re.sub(r"\D", "", plain)) < 7:
             continue
         left, right = _left(t, a), t[b : b + 24]
         for kind, formats, more in (("phone", _PHONES, _R_PHONE), ("id_number", _IDS, _R_ID)):

@@ -78,6 +78,7 @@ def _spaces(line: Column, marker: str) -> Column:
 
 
 def _masked(s: Column) -> Column:
+    # quotations are looked through for 800 signs, which keeps very long texts linear
     quote = f"[^“”「」『』«»„{HARD}]"
     steps = [
         # single dots of an ellipsis become one sign each
@@ -96,11 +97,11 @@ def _masked(s: Column) -> Column:
         # the same sentence goes on after an ellipsis and a small letter
         (rf"…(?=…*{_CLOSERS}*\s+{_SMALL})", MASK),
         # speech: what introduces or attributes it keeps it in one sentence
-        (rf"(?<=[:：,，、]\s{{0,3}}[“「『«»„]{quote}{{0,800}})[.!?…。！？؟।{STOP}](?={quote}*[\p{{L}}\p{{N}}]{quote}*[”“」』»«])", MASK),
-        (rf'(?<=[:,]\s{{0,3}}"[^"{HARD}]{{0,800}})[.!?…{STOP}](?=[^"{HARD}]*[\p{{L}}\p{{N}}][^"{HARD}]*")', MASK),
-        (rf"[.!?…{STOP}](?=[^“”{HARD}]*”,?\s+{_SMALL})", MASK),
-        (rf"[.!?…{STOP}](?=[^«»{HARD}]*»,?\s+{_SMALL})", MASK),
-        (rf"[.!?…{STOP}](?=[^„“”{HARD}]*“,?\s+{_SMALL})", MASK),
+        (rf"(?<=[:：,，、]\s{{0,3}}[“「『«»„]{quote}{{0,800}})[.!?…。！？؟।{STOP}](?={quote}{{0,800}}?[\p{{L}}\p{{N}}]{quote}{{0,800}}[”“」』»«])", MASK),
+        (rf'(?<=[:,]\s{{0,3}}"[^"{HARD}]{{0,800}})[.!?…{STOP}](?=[^"{HARD}]{{0,800}}?[\p{{L}}\p{{N}}][^"{HARD}]{{0,800}}")', MASK),
+        (rf"[.!?…{STOP}](?=[^“”{HARD}]{{0,800}}”,?\s+{_SMALL})", MASK),
+        (rf"[.!?…{STOP}](?=[^«»{HARD}]{{0,800}}»,?\s+{_SMALL})", MASK),
+        (rf"[.!?…{STOP}](?=[^„“”{HARD}]{{0,800}}“,?\s+{_SMALL})", MASK),
         (rf"[.!?…{STOP}](?=[.!?…]*{_CLOSERS}+,?\s+{_SMALL})", MASK),
         (r"[。！？](?=[。！？]*[”」』]+(?:と|って))", MASK),
         (r"[。！？](?=[。！？]*[”」』]+[^。！？，、\s]{0,10}?[说説问問道答写称喊]道?[。，：、])", MASK),
