@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,12 +104,73 @@ def vector_retrieve(beliefs: DataFrame, queries: DataFrame, limit: int = 5, min_
     return asked.select("query_id", "qkey").join(best, "qkey").drop("qkey")
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """Rows (query_id, id, similarity, rank): nearest dense vectors by cosine. ``queries`` is set against all rows."""
-    unit = lambda df, name: df.select(F.col("id").alias(name), F.col("vector").alias(f"v_{name}"), F.sqrt(numeric.dot(F.col("vector"), F.col("vector"))).alias(f"n_{name}"))
-    pairs = unit(vectors, "id").join(unit(queries, "query_id"), F.lit(True))
-    sim = F.round(numeric.dot(F.col("v_id"), F.col("v_query_id")) / (F.col("n_id") * F.col("n_query_id")), 6)
-    return _top(pairs.select("query_id", "id", sim.alias("similarity")), "query_id", limit, "similarity")
+def _nearest(held, limit: int):
+    """Per partition: the best rows for every query of a block, by one matrix product per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = held.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, m = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), dtype=np.float64)
+            m /= np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
+            sims = np.round(unit @ m.T, 6)
+            for q in range(len(ids)):
+                s, r = np.r_[best[q][0], sims[q]], np.r_[best[q][1], rows]
+                top = np.lexsort((r, -s))[:limit]
+                best[q] = (s[top], r[top])
+        n = [len(s) for s, _ in best]
+        if sum(n):
+            cols = [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([r for _, r in best])), pa.array(np.concatenate([s for s, _ in best]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "similarity"])
+
+    return run
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, limit: int = 5, block: int = 20_000) -> DataFrame:
+    """Rows (query_id, id, similarity, rank): the nearest dense vectors (id, vector) by cosine, ties by id.
+
+    The stated queries are set against all rows in blocks of ``block`` queries, which bounds what is broadcast; each
+    partition keeps ``limit`` rows per query, so only those are shuffled. Null vectors take no part."""
+    spark, found, held = vectors.sparkSession, [], []
+
+    def flush() -> None:
+        m = np.array([v for _, v in held], dtype=np.float64)
+        m /= np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in held], dtype=np.int64), m))
+        found.append(vectors.where("vector is not null").select("id", "vector").mapInArrow(_nearest(shared, limit), "query_id bigint, id bigint, similarity double"))
+
+    for r in queries.where("vector is not null").select("id", "vector").toLocalIterator():
+        held.append((r["id"], r["vector"]))
+        if len(held) == block:
+            flush()
+            held = []
+    if held:
+        flush()
+    if not found:
+        return spark.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
+    return _top(reduce(DataFrame.unionByName, found), "query_id", limit, "similarity")
+
+
+def neighbour_pairs(beliefs: DataFrame, k: int = 10) -> DataFrame:
+    """Rows (a, b), a < b: pairs of which one is among the other's ``k`` nearest by hashed embedding."""
+    live = beliefs.where("superseded_by is null")
+    index = embed(live, "id", indexed_text())
+    # slots that nearly all texts fill say nothing; the pairs that count share others too
+    sims = index.join(index.select(F.col("id").alias("other"), "dim", F.col("weight").alias("w2")), "dim").where("id <> other")
+    near = sims.groupBy("id", "other").agg(F.round(F.sum(F.col("weight") * F.col("w2")), 9).alias("similarity"))
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def refreshed(index: DataFrame, changes: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """Postings (id, term, tf) brought up to date: rows of gone and changed beliefs leave, new and changed ones come.
+
+    ``changes`` has (id, change) as the registry's difference gives it; only those beliefs are tokenised."""
+    fresh = beliefs.join(changes.where("change <> 'gone'").select("id"), "id", "left_semi")
+    return index.join(changes.select("id"), "id", "left_anti").unionByName(postings(documents(fresh)))
 
 
 def coverage(claim_tokens: Column, doc_tokens: Column) -> Column:

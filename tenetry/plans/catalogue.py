@@ -281,6 +281,15 @@ def dense_cosine_topk(spark, d):
     return retrieval.dense_search(v, v.where("id % 20 = 0")).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
 
+@query
+def index_refresh(spark, d):
+    """Postings of an older state of the registry brought up to date; the same as built anew."""
+    b = beliefs(spark, d)
+    old = b.where(F.col("created_at") <= F.lit("2025-01-01").cast("timestamp_ntz")).withColumn("updated_at", F.col("created_at"))
+    change = registry.difference(registry.fingerprints(old), registry.fingerprints(b))
+    return retrieval.refreshed(retrieval.postings(retrieval.documents(old)), change, b)
+
+
 # selection
 
 

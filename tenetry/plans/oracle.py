@@ -178,6 +178,7 @@ select md5(request_id || ':' || pos) as id, statement, {_PRIOR} as confidence, s
  len(list_distinct(list_filter(coalesce(connections, []), lambda x: x is not null and x <> ''))) as n_connections from c join r using (request_id)""",
         "idf": f"with {_IDF} select term, df, round(idf, 6) as idf from idf",
         "postings": f"with {_DOCS} select id, term, tf from post",
+        "index_refresh": f"with {_DOCS} select id, term, tf from post",
         "tfidf_topk": f"with {_retrieve(_ASKED, 5)} select query_id, id, score, rank from hits",
         "scoped_topk": f"with {_retrieve(_ASKED, 5, True)} select query_id, id, score, rank from hits",
         "check_claims": f"""with {_retrieve(_ASKED, 1)}, c as (select query_id, list_distinct({_tokens("query")}) as wanted from qs),
