@@ -67,6 +67,85 @@ def retrieve(beliefs: DataFrame, queries: DataFrame, limit: int = 5, within: boo
     return _top(parts.select("query_id", "id", F.round(F.col("s") / F.col("norm") * F.col("confidence"), 6).alias("score")), "query_id", limit)
 
 
+def _score_block(held, k: int, digits: int):
+    """Per partition: the ``k`` best documents for every query of a block, by adding up postings in arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, terms, weights, known = held.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(ids)
+        for b in batches:
+            if not b.num_rows or not len(known):
+                continue
+            lists = b.column(1)
+            keys, off = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+            w = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(off))
+            at = np.searchsorted(known, keys).clip(max=len(known) - 1)
+            on = known[at] == keys
+            pair, back = np.unique(at[on] * b.num_rows + doc[on], return_inverse=True)
+            tf = np.bincount(back, weights=w[on], minlength=len(pair))
+            term, where = pair // b.num_rows, pair % b.num_rows
+            lo, hi = np.searchsorted(term, np.arange(len(known)), "left"), np.searchsorted(term, np.arange(len(known)), "right")
+            scale, names = b.column(3).to_numpy(), b.column(0).to_numpy(zero_copy_only=False)
+            for q in range(len(ids)):
+                s = np.zeros(b.num_rows)
+                for t, x in zip(terms[starts[q] : starts[q + 1]], weights[starts[q] : starts[q + 1]]):
+                    s[where[lo[t] : hi[t]]] += x * tf[lo[t] : hi[t]]
+                hit = np.flatnonzero(s)
+                if not len(hit):
+                    continue
+                s = np.round(s[hit] * scale[hit], digits)
+                if len(hit) > 4 * k:  # all that are no worse than the k-th, ties included
+                    floor = np.partition(s, len(s) - k)[len(s) - k]
+                    hit, s = hit[s >= floor], s[s >= floor]
+                s, n = np.r_[best[q][0], s], np.r_[best[q][1], names[hit]]
+                top = np.lexsort((n.astype(str), -s))[:k]
+                best[q] = (s[top], n[top])
+        n = [len(s) for s, _ in best]
+        if sum(n):
+            cols = [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([x for _, x in best]), pa.string()), pa.array(np.concatenate([s for s, _ in best]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "score"])
+
+    return run
+
+
+def score_all(docs: DataFrame, weighted: DataFrame, k: int, digits: int, block: int = 50_000) -> DataFrame:
+    """Rows (query_id, id, score, rank): the best documents by the sum of query weight times document weight over keys.
+
+    ``docs`` has (id, keys, weights, scale), ``weighted`` (query_id, key, w). The queries are set against all documents in
+    blocks of ``block``, which bounds what is broadcast; each partition keeps ``k`` documents a query. This is the plan for
+    many queries with frequent terms, whose postings a relational join would write out pair by pair."""
+    spark, found, held = docs.sparkSession, [], []
+
+    def flush() -> None:
+        keys = [np.array([x["key"] for x in r["q"]], dtype=np.int64) for r in held]
+        known, terms = np.unique(np.concatenate(keys), return_inverse=True)
+        starts = np.r_[0, np.cumsum([len(x) for x in keys])]
+        weights = np.array([x["w"] for r in held for x in r["q"]], dtype=np.float64)
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in held], dtype=np.int64), starts, terms, weights, known))
+        found.append(docs.select("id", "keys", "weights", "scale").mapInArrow(_score_block(shared, k, digits), "query_id bigint, id string, score double"))
+
+    for r in weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("key", "w"))).alias("q")).toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            flush()
+            held = []
+    if held:
+        flush()
+    if not found:
+        return spark.createDataFrame([], "query_id bigint, id string, score double, rank int")
+    return _top(reduce(DataFrame.unionByName, found), "query_id", k)
+
+
+def retrieve_many(beliefs: DataFrame, queries: DataFrame, limit: int = 1) -> DataFrame:
+    """As :func:`retrieve` without scopes, for many queries: (query_id, id, score, rank)."""
+    docs = documents(beliefs)
+    terms = queries.where("query is not null").select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weighted = terms.join(idf(docs), "term").select("query_id", F.xxhash64("term").alias("key"), (F.col("qtf") * F.col("idf")).alias("w"))
+    keyed = docs.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("keys"), F.transform("tokens", lambda t: F.lit(1.0)).alias("weights"), (F.col("confidence") / F.col("norm")).alias("scale"))
+    return score_all(keyed, weighted, limit, 6)
+
+
 def features(key: str, source: Column, rows: DataFrame) -> DataFrame:
     """Rows (key, feature, weight) of the hashing embedding: words, stems that differ, and inner 4-grams."""
     toks = rows.select(key, F.explode(text.tokens(source)).alias("w"))
@@ -94,11 +173,13 @@ def vector_retrieve(beliefs: DataFrame, queries: DataFrame, limit: int = 5, min_
     The 3 * limit most similar are taken, those under ``min_similarity`` dropped, and the rest ranked by similarity times
     confidence. Repeated query texts are embedded and searched for once."""
     live = beliefs.where("superseded_by is null")
-    index = embed(live, "id", indexed_text())
+    index = embed(live, "id", indexed_text()).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dim", "weight"))).alias("v"))
+    docs = index.select("id", F.transform("v", lambda x: x["dim"].cast("bigint")).alias("keys"), F.transform("v", lambda x: x["weight"]).alias("weights"), F.lit(1.0).alias("scale"))
     asked = queries.where("query is not null").select("query_id", "query", F.xxhash64("query").alias("qkey"))
-    vectors = embed(asked.select("qkey", "query").dropDuplicates(["qkey"]), "qkey", F.col("query")).withColumnRenamed("weight", "qw")
-    sims = index.join(vectors, "dim").groupBy("qkey", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("similarity"))
-    near = _top(sims, "qkey", 3 * limit, "similarity").where(F.col("similarity") >= min_similarity).drop("rank")
+    vectors = embed(asked.select("qkey", "query").dropDuplicates(["qkey"]), "qkey", F.col("query"))
+    weighted = vectors.select(F.col("qkey").alias("query_id"), F.col("dim").cast("bigint").alias("key"), F.col("weight").alias("w"))
+    sims = score_all(docs, weighted, 3 * limit, 9).withColumnRenamed("query_id", "qkey").withColumnRenamed("score", "similarity")
+    near = sims.where(F.col("similarity") >= min_similarity).drop("rank")
     scored = near.join(live.select("id", "confidence"), "id").withColumn("score", F.round(F.col("similarity") * F.col("confidence"), 6))
     best = _top(scored, "qkey", limit).select("qkey", "id", "similarity", "score", "rank")
     return asked.select("query_id", "qkey").join(best, "qkey").drop("qkey")
@@ -182,7 +263,7 @@ def coverage(claim_tokens: Column, doc_tokens: Column) -> Column:
 def check(beliefs: DataFrame, claims: DataFrame, threshold: float = SUPPORTED_AT, coverage_at: float = COVERAGE_AT) -> DataFrame:
     """Claims (claim_id, claim) with relevance, coverage, supported and, where supported, the belief's id."""
     distinct = claims.select("claim_id", "claim", F.xxhash64("claim").alias("query_id"))
-    hits = retrieve(beliefs, distinct.select("query_id", F.col("claim").alias("query")).dropDuplicates(["query_id"]), limit=1)
+    hits = retrieve_many(beliefs, distinct.select("query_id", F.col("claim").alias("query")).dropDuplicates(["query_id"]))
     docs = documents(beliefs).select("id", "tokens")
     best = distinct.join(hits.select("query_id", "id", "score"), "query_id", "left").join(docs, "id", "left")
     cov = F.when(F.col("tokens").isNotNull(), coverage(text.tokens(F.col("claim")), F.col("tokens"))).otherwise(0.0)
