@@ -78,12 +78,13 @@ def _spaces(line: Column, marker: str) -> Column:
 
 
 def _masked(s: Column) -> Column:
+    # what lies before a stop is looked at only where there is one;
     # quotations are looked through for 800 signs, which keeps very long texts linear
     quote = f"[^“”「」『』«»„{HARD}]"
     steps = [
         # single dots of an ellipsis become one sign each
         (r"\.(?=\.\.)|(?<=\.\.)\.|(?<=\.)\.(?=\.)", "…"),
-        (rf"(?<=(?:https?://|www\.)[^\s<>{HARD}]{{0,300}})[.?!](?=[^\s<>{HARD}])", MASK),
+        (rf"[.?!](?<=(?:https?://|www\.)[^\s<>{HARD}]{{0,300}}.)(?=[^\s<>{HARD}])", MASK),
         (r"\.(?=[\p{L}\p{N}._+-]{0,64}@\S)|(?<=@[\p{L}\p{N}.-]{0,100})\.(?=[\p{L}\p{N}])", MASK),
         (r"(?<=\p{N})[.．](?=\p{N})", MASK),
         # abbreviations that may end a sentence do so before a capital or another script
@@ -97,8 +98,8 @@ def _masked(s: Column) -> Column:
         # the same sentence goes on after an ellipsis and a small letter
         (rf"…(?=…*{_CLOSERS}*\s+{_SMALL})", MASK),
         # speech: what introduces or attributes it keeps it in one sentence
-        (rf"(?<=[:：,，、]\s{{0,3}}[“「『«»„]{quote}{{0,800}})[.!?…。！？؟।{STOP}](?={quote}{{0,800}}?[\p{{L}}\p{{N}}]{quote}{{0,800}}[”“」』»«])", MASK),
-        (rf'(?<=[:,]\s{{0,3}}"[^"{HARD}]{{0,800}})[.!?…{STOP}](?=[^"{HARD}]{{0,800}}?[\p{{L}}\p{{N}}][^"{HARD}]{{0,800}}")', MASK),
+        (rf"[.!?…。！？؟।{STOP}](?<=[:：,，、]\s{{0,3}}[“「『«»„]{quote}{{0,800}}.)(?={quote}{{0,800}}?[\p{{L}}\p{{N}}]{quote}{{0,800}}[”“」』»«])", MASK),
+        (rf'[.!?…{STOP}](?<=[:,]\s{{0,3}}"[^"{HARD}]{{0,800}}.)(?=[^"{HARD}]{{0,800}}?[\p{{L}}\p{{N}}][^"{HARD}]{{0,800}}")', MASK),
         (rf"[.!?…{STOP}](?=[^“”{HARD}]{{0,800}}”,?\s+{_SMALL})", MASK),
         (rf"[.!?…{STOP}](?=[^«»{HARD}]{{0,800}}»,?\s+{_SMALL})", MASK),
         (rf"[.!?…{STOP}](?=[^„“”{HARD}]{{0,800}}“,?\s+{_SMALL})", MASK),
