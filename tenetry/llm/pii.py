@@ -44,6 +44,8 @@ NAME = re.compile(
     f"|(?P<full>{_LEAD}{_CAP}{_SP}{_LEAD}{_LASTS})"
     f")(?![{_UP}{_LO}0-9_@])"
 )
+#: Where a name may start, cheaply: a word that a capitalised one follows.
+_START = re.compile(f"[{_UP}vd](?=\\S{{0,60}}{_SP}(?:(?:van|von|der|den|de|del|la|di|da) )*[{_UP}])")
 _AT, _DOT = r"(?:\s?[\(\[\{]\s?at\s?[\)\]\}]\s?|\s?[@＠]\s?)", r"(?:\s?[\(\[\{]\s?dot\s?[\)\]\}]\s?|\.)"
 _LOCAL, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*", r"[A-Za-z0-9][A-Za-z0-9-]*"
 EMAIL = re.compile(rf"{_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*| at {_LABEL}(?: dot {_LABEL})+)", re.I)
@@ -149,13 +151,14 @@ def _addresses(t: str) -> Iterator[tuple]:
 
 def _names(t: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
     at = 0
-    while m := NAME.search(t, at):
+    for begin in _START.finditer(t):
+        if begin.start() < at or not (m := NAME.match(t, begin.start())):
+            continue
         a, b = m.span()
-        at = b
-        hit = next(((x, y) for x, y in taken if a < y and x < b), None)
-        if hit:
+        if hit := next(((x, y) for x, y in taken if a < y and x < b), None):
             at = max(a + 1, hit[1])
             continue
+        at = b
         shape = m.lastgroup
         left, right = t[max(0, a - 40) : a], t[b : b + 48]
         ctx = _vote(bool(_L_WHO.search(left)) or bool(_R_WHO.search(right)), bool(_L_NOT.search(left)) or bool(_R_NOT.search(right)))
