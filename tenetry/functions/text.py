@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenetry.schema import GROUNDING_AT, MIN_CLAIM_WORDS, MIN_WORDS, NEGATIONS, STOPWORDS, VERBS
 
+# The patterns that decide what a block, a list item, an abbreviation and noise are.
 _FENCE = r"^\s*(?:```|~~~)"
 _HEADING = r"^\s*#{1,6}\s+"
 _TABLE = r"^\s*\|"
@@ -14,6 +15,8 @@ _MARKER = r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+|>\s+)"
 _LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 _ABBREVIATION = r"(?i)\b(?:e\.g|i\.e|etc|vs|approx|fig|no|al|dr|mr|ms|st)\."
 _NOISE = r"^\s*(?:[-*#>\d.)\s]+)$"
+# Decorations of Markdown whose inside is kept.
+_DECORATIONS = (r"\[([^\]]+)\]\([^)]*\)", r"`([^`]+)`", r"\*\*([^*]+)\*\*", r"__([^_]+)__", r"\*([^*]+)\*")
 _SPLIT = "\x01"
 _STRINGS = "array<string>"
 
@@ -58,7 +61,7 @@ def sentences(text: Column) -> Column:
 
 def plain(sentence: Column) -> Column:
     """Without links, code, bold and italic marks, and with single spaces."""
-    for pattern in (r"\[([^\]]+)\]\([^)]*\)", r"`([^`]+)`", r"\*\*([^*]+)\*\*", r"__([^_]+)__", r"\*([^*]+)\*"):
+    for pattern in _DECORATIONS:
         sentence = F.regexp_replace(sentence, pattern, "$1")
     return squeeze(sentence)
 
