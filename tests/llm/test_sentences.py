@@ -7,7 +7,7 @@ from tenetry.llm.sentences import sentences
 CASES = {
     "plain": "Dr. Smith paid 3.5 units, e.g. twice.| Is it on https://a.example/b.c?d=1 now?| Yes!",
     "initials": "J. T. Harrow and Prof. Lee wrote it.| See Fig. 2 and Sec. 4.1 first.",
-    "outer abbreviations": "It ran until 6 p.m. and stopped.| It ran until 6 p.m.| The log grew, nodes, etc.| Acme Inc. owns it.",
+    "outer abbreviations": "It ran until 6 p.m. and stopped.| It ran until 6 p.m.| The log grew, nodes, etc.| Foo Inc. owns it.",
     "speech": "“Is it ready?” asked Ann.| Bob said: “One is here. Two is there.”| “It works,” wrote Cy.| “Done. Gone.” said Di.",
     "straight quotes": 'She asks, "Who owns it?" and stops.| "It works now!" is what the log says.| Next.',
     "whole in brackets": "(It is a note.)| Next one (approx. 4 m).| “All quoted.”| End.",
