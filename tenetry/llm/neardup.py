@@ -24,6 +24,7 @@ TENTHS = 7
 FREQUENT_SHARE, FREQUENT_LEAST = 8_192, 64
 #: Texts of more distinct words use single-word masks, whose number grows with the length and not with its square.
 PAIR_MASKS_UP_TO = 64
+MAX_BITMAP = 1 << 28
 _SIZE_BITS = 12
 _SIZE_MASK = (1 << _SIZE_BITS) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -134,14 +135,30 @@ def candidates(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     return a.join(b, (a["mask"] == b["mask"]) & near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
+_PAGE = 32_768  # bits of one page of a bitmap
+
+
+def _only(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The members whose class may be in ``pairs``, by a bitmap of hashed classes, broadcast with at most ``MAX_BITMAP`` bits.
+
+    A full bitmap lets more through and never less, so the result does not depend on its size."""
+    bits = min(MAX_BITMAP, max(_PAGE, 1 << (32 * pairs.count()).bit_length()))
+    place = F.pmod(F.xxhash64("cls"), F.lit(bits))
+    page, at = F.shiftright(place, 15).cast("int"), F.pmod(place, F.lit(_PAGE))
+    held = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    asked = members.withColumn("page", page).join(F.broadcast(held), "page")
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(pmod(pmod(xxhash64(cls), {bits}), {_PAGE}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return asked.where(F.lit(1) == F.floor(byte / F.pow(F.lit(2.0), F.pmod(place, F.lit(8)))) % 2).drop("page", "bits")
+
+
 def near_pairs(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     """Rows (field, key_a, key_b), key_a < key_b: texts of one field that are nearly, but not entirely, the same.
 
     ``texts`` has (field, key, text). Similarity is common distinct words over all distinct words of the two, at least
     ``tenths`` / 10. Texts that say the same apart from formatting are no pair. Null and wordless texts and null keys take
     no part; a key that occurs twice in a field with different texts is not paired with itself. Extra columns are not read."""
-    member = _classed(texts)
-    pairs = candidates(texts, tenths)
+    pairs = materialize(candidates(texts, tenths), "near-candidates")
+    member = _only(_classed(texts), pairs)
     side = lambda s: member.select(F.col("cls").alias(s), F.col("field").alias("field_" + s), F.col("key").alias("key_" + s), F.col("normed").alias("t_" + s))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     wa, wb = _distinct_words(F.col("t_a")), _distinct_words(F.col("t_b"))
