@@ -372,6 +372,32 @@ def propagate(spark, d):
     return graph.propagate(graph.edges(b), b, changes, max_hops=1)
 
 
+# The four above go one step (belief, concept, belief); the next four go as far as the operators' own defaults.
+
+
+@query
+def graph_walk_far(spark, d):
+    return graph.walk(graph.edges(beliefs(spark, d)), _starts(spark, d))
+
+
+@query
+def shortest_paths_far(spark, d):
+    found = graph.paths(graph.edges(beliefs(spark, d)), _starts(spark, d))
+    return found.select("start", "node", F.array_join("path", " > ").alias("path"))
+
+
+@query
+def infer_far(spark, d):
+    b = beliefs(spark, d)
+    return graph.infer(graph.edges(b), b, _starts(spark, d))
+
+
+@query
+def propagate_far(spark, d):
+    b = beliefs(spark, d)
+    return graph.propagate(graph.edges(b), b, _starts(spark, d).withColumn("delta", F.lit(-0.3)))
+
+
 # conflict
 
 

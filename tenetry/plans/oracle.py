@@ -75,6 +75,20 @@ _WALK1 = f"""{_LIVE_EDGES}, starts as (select distinct superseded_by as start fr
 own as (select distinct s.start from starts s join edges e on e.belief_id = s.start),
 hop1 as (select o.start, e.concept from own o join edges e on e.belief_id = o.start),
 hop2 as (select h.start, e.belief_id, min('c:' || h.concept) as via from hop1 h join edges e on e.concept = h.concept where e.belief_id <> h.start group by 1, 2)"""
+
+
+def _far(max_hops: int) -> str:
+    """Level by level, as ``_WALK1`` for one step: the least shortest path to each node, its strength in order of the path."""
+    levels = [f"""{_WALK1}, n as materialized (select 'b:' || belief_id as src, 'c:' || concept as dst, 1.0::double as c from edges
+ union all select 'c:' || concept, 'b:' || belief_id, confidence from edges join b on b.id = belief_id),
+l0 as materialized (select start, 'b:' || start as node, ['b:' || start] as path, confidence as c from own join b on b.id = start)"""]
+    for k in range(1, max_hops + 1):
+        old = " and ".join(f"not exists (select 1 from l{j} o where o.start = l.start and o.node = n.dst)" for j in range(k % 2, k, 2)) or "true"
+        levels.append(f"""p{k} as (select l.start, n.dst as node, list_append(l.path, n.dst) as path, l.c * n.c as c from l{k - 1} l join n on n.src = l.node where {old}),
+l{k} as materialized (select start, node, path, c from (select *, row_number() over (partition by start, node order by path) as r from p{k}) where r = 1)""")
+    return ", ".join(levels) + ", far as (" + " union all ".join(f"select *, {k} as hops from l{k}" for k in range(max_hops + 1)) + ")"
+
+
 _LINES = r"regexp_split_to_array(text, '\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]')"
 _VERB = f"list_contains({_list(VERBS)}, lower({{}}))"
 
@@ -213,6 +227,17 @@ m as (select h.start, h.belief_id as id, y.confidence, -0.3 * 0.5 * case when le
  from hop2 h join s x on x.id = h.start join s y on y.id = h.belief_id)
 select start, start as id, 0 as hops, round(least(greatest(confidence - 0.3, 0), 1), 6) as confidence from starts join b on b.id = start
  union all select start, id, 1, round(least(greatest(confidence + d, 0), 1), 6) from m where abs(d) >= 1e-9""",
+        "graph_walk_far": f"with {_far(3)} select start, node, hops from far",
+        "shortest_paths_far": f"with {_far(6)} select start, node, array_to_string(path, ' > ') as path from far",
+        "infer_far": f"""with {_far(4)}, s as (select far.start, b.id, hops, round(far.c, 6) as strength, array_to_string(path, ' > ') as chain, b.confidence from far join b on node = 'b:' || b.id where hops > 0),
+r as (select *, row_number() over (partition by start order by strength desc, hops, confidence desc, id) as rank from s)
+select start, id, hops, strength, chain, rank from r where rank <= 5""",
+        # a quarter of 0.3 ends on a half at the seventh place, which round() of a double takes either way; of the digits it is half-up
+        "propagate_far": f"""with {_far(4)}, s as (select id, confidence, {_SETS} as s from b),
+m as (select far.start, y.id, hops // 2 as hops, y.confidence, -0.3 * power(0.5, hops // 2) * case when len(x.s) > 0 and len(y.s) > 0 then len(list_intersect(x.s, y.s)) * 1.0 / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) else 0 end as d
+ from far join s x on x.id = far.start join s y on node = 'b:' || y.id where hops > 0)
+select start, start as id, 0 as hops, round(least(greatest(confidence - 0.3, 0), 1), 6) as confidence from starts join b on b.id = start
+ union all select start, id, hops, round(least(greatest(confidence + d, 0), 1)::varchar::decimal(38, 20), 6)::double from m where abs(d) >= 1e-9""",
         "split_claims": f"""with {B}, {_PARTS} select id, unnest(range(len(fs))) as pos, unnest(list_transform(fs, lambda f: upper(f[1]) || f[2:] || '.')) as part from parts where fine""",
         "split_registry": f"""with {B}, {_PARTS}, c as (select id, confidence, history, unnest(range(len(fs))) as pos, unnest(list_transform(fs, lambda f: upper(f[1]) || f[2:] || '.')) as statement from parts where fine)
 select md5(id || ':' || pos) as id, statement, confidence, least(len(history) + 1, 100) as n_history from c union all select id, statement, confidence, len(history) from parts where not fine""",
