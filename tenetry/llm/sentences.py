@@ -78,9 +78,17 @@ def _spaces(line: Column, marker: str) -> Column:
 
 
 def _masked(s: Column) -> Column:
-    # what lies before a stop is looked at only where there is one;
-    # quotations are looked through for 800 signs, which keeps very long texts linear
-    quote = f"[^“”「」『』«»„{HARD}]"
+    # what lies before a stop is looked at only where there is one; a quotation is looked through once, from its opening
+    # mark, and then stop by stop, each from where the one before it was, so that long ones stay linear
+    marks, stops = "“”「」『』«»„", f".!?…{STOP}"
+
+    def speech(opening: str, marks: str, stops: str, after: str = "") -> tuple[str, str]:
+        return rf"((?:{opening}|\G(?!\A))[^{marks}{HARD}{stops}]*+)[{stops}]{after}", "$1" + MASK
+
+    def attributed(marks: str, closing: str) -> tuple[str, str]:
+        return speech(rf"[{marks}](?=[^{marks}{HARD}]*+{closing},?\s+{_SMALL})", marks, stops)
+
+    worded = lambda marks: rf"(?=[^{marks}{HARD}\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])"
     steps = [
         # single dots of an ellipsis become one sign each
         (r"\.(?=\.\.)|(?<=\.\.)\.|(?<=\.)\.(?=\.)", "…"),
@@ -98,11 +106,11 @@ def _masked(s: Column) -> Column:
         # the same sentence goes on after an ellipsis and a small letter
         (rf"…(?=…*{_CLOSERS}*\s+{_SMALL})", MASK),
         # speech: what introduces or attributes it keeps it in one sentence
-        (rf"[.!?…。！？؟।{STOP}](?<=[:：,，、]\s{{0,3}}[“「『«»„]{quote}{{0,800}}.)(?={quote}{{0,800}}?[\p{{L}}\p{{N}}]{quote}{{0,800}}[”“」』»«])", MASK),
-        (rf'[.!?…{STOP}](?<=[:,]\s{{0,3}}"[^"{HARD}]{{0,800}}.)(?=[^"{HARD}]{{0,800}}?[\p{{L}}\p{{N}}][^"{HARD}]{{0,800}}")', MASK),
-        (rf"[.!?…{STOP}](?=[^“”{HARD}]{{0,800}}”,?\s+{_SMALL})", MASK),
-        (rf"[.!?…{STOP}](?=[^«»{HARD}]{{0,800}}»,?\s+{_SMALL})", MASK),
-        (rf"[.!?…{STOP}](?=[^„“”{HARD}]{{0,800}}“,?\s+{_SMALL})", MASK),
+        speech(rf"[“「『«»„](?<=[:：,，、]\s{{0,3}}.)(?=[^{marks}{HARD}]*+[”“」』»«])", marks, stops + "。！？؟।", worded(marks)),
+        speech(rf'"(?<=[:,]\s{{0,3}}.)(?=[^"{HARD}]*+")', '"', stops, worded('"')),
+        attributed("“”„", "”"),
+        attributed("«»", "»"),
+        attributed("„“”", "“"),
         (rf"[.!?…{STOP}](?=[.!?…]*{_CLOSERS}+,?\s+{_SMALL})", MASK),
         (r"[。！？](?=[。！？]*[”」』]+(?:と|って))", MASK),
         (r"[。！？](?=[。！？]*[”」』]+[^。！？，、\s]{0,10}?[说説问問道答写称喊]道?[。，：、])", MASK),

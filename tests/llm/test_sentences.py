@@ -58,3 +58,16 @@ def test_odd_texts(spark):
         n[r["request_id"]] = n.get(r["request_id"], 0) + 1
     assert n == {5: 20_000, 6: 2, 7: 2}
     assert sentences(spark.createDataFrame([], "request_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("n", [100])
+def test_long_quotations(spark, n):
+    """A quotation and what introduces or attributes it are one sentence, however long it is; an unmatched mark is none."""
+    many = " ".join(["One is here."] * n)
+    whole = [f"Bob said: “{many}”", f"“{many}” said Bob.", f"Il dit : « {many} »", f"« {many} » dit Luc.", f"„{many}“, sagte Eva.", f'She asks, "{many}" and stops.', "他说：“" + "好。走吧。" * n + "”"]
+    df = spark.createDataFrame([(i, f"It starts. {x}\n\nIt ends.") for i, x in enumerate(whole)] + [(9, f"It is “open. {many}")], "request_id long, text string")
+    got = {}
+    for r in sentences(df).orderBy("request_id", "start").collect():
+        got.setdefault(r["request_id"], []).append(r["sentence"])
+    assert len(got.pop(9)) == n + 1
+    assert got == {i: ["It starts.", x, "It ends."] for i, x in enumerate(whole)}
