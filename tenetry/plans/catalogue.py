@@ -310,7 +310,7 @@ def select_greedy(spark, d):
 
 @query
 def select_annealing(spark, d):
-    return selection.select(beliefs(spark, d), asked(spark, d), solver="annealing", pool=8)
+    return selection.select(beliefs(spark, d), asked(spark, d), solver="annealing")
 
 
 @query
