@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from tenetry.functions import numeric, text
 from tenetry.operators import conflict, graph, lifecycle, retrieval, selection
 from tenetry.plans import oracle
 from tenetry.schema import conform
-from tenetry.session import table
+from tenetry.session import shared_dir, table
 from tenetry.sources import registry
 from tenetry.streaming import change_capture
 
@@ -35,7 +36,9 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_found(spark, d):
-    return change_capture.changed(table(spark, d, "registry_saves"), table(spark, d, "index_runs")).select("run_id", "id")
+    """The runs of index_runs played one after another over a capture in the shared folder."""
+    kept = f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}"
+    return change_capture.changed(table(spark, d, "registry_saves"), table(spark, d, "index_runs"), kept).select("run_id", "id")
 
 
 # text

@@ -1,7 +1,9 @@
-"""Session helpers: table access, the shared folder, lineage cuts and size-checked broadcasts."""
+"""Session helpers: table access, the shared folder, lineage cuts and grouping that stands skew."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,17 +19,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local runs) a local folder is made and set."""
+    Only a session whose executors run on this machine may go without the setting: it gets a local folder, which is
+    removed when the process ends. On a cluster the setting is demanded, as a local folder would not be shared."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         made = getattr(shared_dir, "_made", None)
         if made is None:
-            made = shared_dir._made = "file://" + tempfile.mkdtemp(prefix="tenetry-")
+            local = tempfile.mkdtemp(prefix="tenetry-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            made = shared_dir._made = "file://" + local
         path = made
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+class Folder:
+    """Names and small marks in a folder of the shared file system, without a job for each of them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def _at(self, name: str):
+        path = self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def names(self, name: str = "") -> list[str]:
+        path, fs = self._at(name)
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def mark(self, name: str, text: str = "") -> None:
+        """Put a small file there in one step: it is written aside and then renamed."""
+        aside, fs = self._at(f".{uuid.uuid4().hex}")
+        path, _ = self._at(name)
+        out = fs.create(aside)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.mkdirs(path.getParent())
+        if not fs.rename(aside, path):
+            fs.delete(aside, False)
+            if not fs.exists(path):
+                raise OSError(f"cannot write {path}")
+
+    def text(self, name: str) -> str:
+        path, fs = self._at(name)
+        found = fs.open(path)
+        try:
+            return bytes(found.readAllBytes()).decode()
+        finally:
+            found.close()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
