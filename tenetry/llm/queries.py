@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenetry.llm import copies, frequency, leakage, neardup, packing, pii, relevance, sentences, survivors
-from tenetry.session import table
+from tenetry.session import shared_dir, table
+from tenetry.sources import registry
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,14 +27,25 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("evidence", F.coalesce(F.size("evidence"), F.lit(-1))).withColumnRenamed("evidence", "n_evidence")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _counted(spark: SparkSession, d: str) -> frequency.Counts:
+    """Counts of an older state of the registry, stored, and brought up to its present one by what changed since."""
     beliefs = table(spark, d, "beliefs")
-    counts = frequency.merge(None, frequency.deltas(beliefs))
-    return frequency.marks(counts, beliefs.count()).where("mark is not null").select("field", "term", "mark")
+    old = beliefs.where(F.coalesce(F.col("created_at") <= F.lit("2025-01-01").cast("timestamp_ntz"), F.lit(False)))
+    counts = frequency.Counts(spark, f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}")
+    before, now = old.count(), beliefs.count()
+    counts.merge(frequency.deltas(old), before, 0)
+    changed = registry.difference(old.select("id", F.col("created_at").alias("updated_at")), beliefs.select("id", "updated_at"))
+    counts.merge(frequency.deltas(beliefs, old, changed), now - before, 1)
+    return counts
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    counts = _counted(spark, d)
+    return frequency.marks(counts.rows(), counts.records()).where("mark is not null").select("field", "term", "mark")
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    return frequency.merge(None, frequency.deltas(table(spark, d, "beliefs")))
+    return _counted(spark, d).rows()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +69,12 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return relevance.score_terms(table(spark, d, "beliefs")).where("tf >= 3 and df <= 3").select("id", "term")
+    return relevance.score_terms(table(spark, d, "beliefs"), tf_least=3, df_most=3).select("id", "term")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of every belief with its score, to 6 places."""
+    return relevance.score_terms(table(spark, d, "beliefs")).withColumn("score", F.round("score", 6))
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -141,5 +159,8 @@ where a.k <> b.k and 10 * len(list_intersect(a.s, b.s)) >= 7 * (len(a.s) + len(b
         "p7_found": f"""with ws as (select id, unnest({_WORDS.format(text)}) as term from beliefs),
 tf as (select id, term, count(*) as tf from ws group by 1, 2), df as (select term, count(*) as df from tf group by 1)
 select id, term from tf join df using (term) where tf >= 3 and df <= 3""",
+        "p7_scores": f"""with w as (select id, {_WORDS.format(text)} as ws from beliefs), n as (select count(*)::double as total, avg(len(ws)) as mean from w),
+tf as (select id, term, count(*) as tf, any_value(l) as l from (select id, len(ws) as l, unnest(ws) as term from w) group by 1, 2), df as (select term, count(*) as df from tf group by 1)
+select id, term, tf, df, round(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean)), 6) as score from tf join df using (term), n""",
         "p9_found": f"with d as ({grams.replace('KEY', 'doc_id').replace('TABLE_', 'documents')}), e as ({grams.replace('KEY', 'item_id').replace('TABLE_', 'eval_items')}) select distinct doc_id, item_id from d join e using (g)",
     }

@@ -70,7 +70,7 @@ def test_empty_tables(spark):
     none = table(spark, [])
     assert copies.collapse(none).count() == 0
     assert survivors.suppliers(none).count() == 0
-    assert frequency.merge(None, frequency.deltas(none)).count() == 0
+    assert frequency.deltas(none).count() == 0 and frequency.deltas(none, none, none).count() == 0
     assert relevance.score_terms(none).count() == 0
     assert neardup.near_pairs(neardup.belief_texts(none)).count() == 0
     assert neardup.groups(neardup.belief_texts(none)).count() == 0
@@ -96,19 +96,111 @@ def test_survivors(spark):
     assert record["a"]["source"] == "Book" and record["a"]["confidence"] == 0.5 and record["a"]["scope"] == "s1" and len(record["a"]["evidence"]) == 3
 
 
+def test_deeper_layers_supply(spark):
+    """The first layer has no scope, the second no confidence; the third gives the confidence, and the fourth a later scope."""
+    e = lambda n: [(str(k), "s") for k in range(n)]
+    rows = [
+        row("a", "Same claim", e(1), source="official_docs", confidence=0.9, day=20),  # 3 filled, most trusted, latest
+        row("b", "same claim", e(1), source="research_paper", scope="s1", day=10),  # 3 filled: behind a
+        row("c", "SAME claim", e(4), source="book", scope="s2", day=15),  # 3 filled: behind a, more evidence
+        row("d", "same, claim", None, source="web", scope="s3", day=17),  # 2 filled: behind a
+        row("e", "same claim!", None, source="web", confidence=0.1, day=16),  # behind d
+    ]
+    to = survivors.settled(table(spark, rows)).collect()[0]["to"]
+    got = {f: (to[f]["rec"]["id"], to[f]["depth"]) for f in survivors.FIELDS}
+    assert got == {"updated_at": ("a", 0), "source": ("a", 0), "evidence": ("c", 1), "confidence": ("a", 0), "scope": ("d", 1)}
+    more = [row("f", "same claim", e(1), source="official_docs", scope=None, confidence=None, day=30)]
+    more += [row("g", "same claim", None, source="official_docs", confidence=None, day=29), row("h", "same claim", None, source="web", scope="s4", confidence=None, day=28)]
+    to = survivors.settled(table(spark, [r for r in rows if r[0] in "be"] + more)).collect()[0]["to"]
+    assert {f: to[f]["rec"]["id"] for f in survivors.FIELDS} == {"updated_at": "f", "source": "f", "evidence": "f", "confidence": "e", "scope": "h"}
+    assert to["scope"]["depth"] > 0 and to["confidence"]["depth"] > to["scope"]["depth"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_survivors_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        group = "hot" if rng.random() < 0.4 else f"claim {rng.randrange(60)}"
+        ev = rng.choice([None, [(str(k), "s") for k in range(rng.randint(0, 12))]])
+        src = rng.choice([None, " Web", "BOOK", "code", "official_docs", "rumour"])
+        conf, scope = rng.choice([None, 0.0, 0.4, 1.0, 1.2, -1.0, float("nan")]), rng.choice([None, " ", "s"])
+        rows.append(row(f"{i:03}", group, ev, source=src, confidence=conf, scope=scope, day=rng.choice([None, *range(6)])))
+    rank = {n: i for i, n in enumerate(survivors.TRUST)}
+    late = lambda r: (r[7] is None, -((r[7] - T).days) if r[7] else 0, r[0])
+    policy = {
+        "updated_at": (lambda r: r[7] is not None, lambda r: 0), "source": (lambda r: True, lambda r: rank.get((r[4] or "unknown").strip().lower(), 7)),
+        "evidence": (lambda r: True, lambda r: -len(r[2] or [])), "confidence": (lambda r: r[5] is not None and 0 <= r[5] <= 1, lambda r: 0), "scope": (lambda r: (r[6] or "").strip() != "", lambda r: 0),
+    }
+    want, groups = set(), {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    for members in groups.values():
+        for f, (fits, merit) in policy.items():
+            can = [r for r in members if fits(r)]
+            if len(members) > 1 and can:
+                want.add((min(r[0] for r in members), f, min(can, key=lambda r: (merit(r), late(r)))[0]))
+    assert {tuple(r) for r in survivors.suppliers(table(spark, rows).repartition(5)).collect()} == want
+
+
 def test_frequency_by_deltas(spark, tmp_path):
     old = [row("a", "x x y", labels=["A b", "a  B", "-", None]), row("b", "y z", labels=None), row("c", None, labels=[]), row("d", "gone now", labels=["c"])]
     new = [row("a", "x x y", labels=["A b", "a  B", "-", None]), row("b", "z z z", labels=["a b"]), row("c", "x", labels=[]), row("e", "", labels=["new"])]
-    first = frequency.merge(None, frequency.deltas(table(spark, old)))
-    frequency.store(first, str(tmp_path / "counts"), 4)
-    change = frequency.deltas(table(spark, new), table(spark, old))
-    merged = {tuple(r) for r in frequency.merge(frequency.load(spark, str(tmp_path / "counts")), change).collect()}
-    assert merged == {tuple(r) for r in frequency.merge(None, frequency.deltas(table(spark, new))).collect()}
+    a, b, changed = table(spark, old), table(spark, new), spark.createDataFrame([(k,) for k in "bcdeb"], "id string")
+    counts = frequency.Counts(spark, str(tmp_path / "counts"))
+    assert counts.rows().count() == 0 and counts.records() == 0
+    counts.merge(frequency.deltas(a), 4, 0)
+    first = counts.rows().collect()
+    assert {tuple(r) for r in first} == {tuple(r) for r in frequency.deltas(a).collect()}
+    change = frequency.deltas(b, a, changed)
+    # only what the changed records held and hold: x of c, y of b and so on, but not twice x of a
+    assert {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in change.collect()} == {
+        ("statement", "x"): (1, 1), ("statement", "y"): (-1, -1), ("statement", "z"): (2, 0), ("statement", "gone"): (-1, -1), ("statement", "now"): (-1, -1),
+        ("connections", "a b"): (1, 1), ("connections", "c"): (-1, -1), ("connections", "new"): (1, 1),
+    }
+    for _ in range(2):  # a batch merged again is no change
+        counts.merge(change, 0, 1)
+    merged = {tuple(r) for r in counts.rows().collect()}
+    assert merged == {tuple(r) for r in frequency.deltas(b).collect()} and counts.records() == 4
     assert ("statement", "x", 3, 2) in merged and ("connections", "a b", 3, 2) in merged and not {m for m in merged if m[1] in ("gone", "c", "")}
-    gone = frequency.deltas(None, table(spark, new))
-    assert frequency.merge(frequency.merge(None, frequency.deltas(table(spark, new))), gone).count() == 0
-    marks = {(r["field"], r["term"]): r["mark"] for r in frequency.marks(first, 20, rare_below=2).collect()}
-    assert marks[("statement", "x")] == "rare" and marks[("statement", "y")] is None
+    marks = {(r["field"], r["term"]): r["mark"] for r in frequency.marks(counts.rows(), 20, rare_below=2).collect()}
+    assert marks[("statement", "y")] == "rare" and marks[("statement", "x")] is None
+    counts.merge(frequency.deltas(None, b), -4, 2)
+    assert counts.rows().count() == 0 and counts.records() == 0
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    counts = frequency.Counts(spark, str(tmp_path / "counts"))
+    counts.merge(frequency.deltas(table(spark, [row(f"{i}", f"w{i} v{i}") for i in range(60)])), 60, 0)
+    counts.merge(frequency.deltas(table(spark, [row("new", "w7")])), 1, 1)
+    files = counts._manifest()["files"]
+    assert sorted(f.split("/")[0] for f in files.values()).count("1") == 1 and len(files) == frequency.LEAST_BUCKETS
+    assert {r["term"]: r["records"] for r in counts.rows().collect()}["w7"] == 2 and counts.records() == 61
+    # a merge that broke off before its manifest leaves the version before it, and is made anew
+    spark.createDataFrame([("statement", "junk", 1, 1, 0)], "field string, term string, occurrences long, records long, bucket int").write.partitionBy("bucket").parquet(str(tmp_path / "counts" / "data" / "2"))
+    assert "junk" not in {r["term"] for r in counts.rows().collect()}
+    counts.merge(frequency.deltas(table(spark, [row("x", "v1")])), 1, 2)
+    assert {r["term"]: r["records"] for r in counts.rows().collect()} == {f"{c}{i}": 2 if f"{c}{i}" in ("w7", "v1") else 1 for i in range(60) for c in "wv"}
+
+
+def test_counts_follow_change_capture(spark, tmp_path):
+    """Only the keys that capture hands out are cut into terms, run by run, and the counts equal a recount."""
+    from tenetry.streaming.change_capture import ChangeCapture
+
+    capture, counts = ChangeCapture(spark, str(tmp_path / "log")), frequency.Counts(spark, str(tmp_path / "counts"))
+    rng, state, saves, n = random.Random(4), {}, [], 0
+    for run in range(3):
+        before = dict(state)
+        for _ in range(12):
+            n += 1
+            key = f"k{rng.randrange(9)}"
+            state[key] = row(key, " ".join(rng.choice("pqrst") for _ in range(3)), labels=[rng.choice(["L", "m"])])
+            saves.append((n, key, T + dt.timedelta(days=n), T + dt.timedelta(days=n)))
+        df = spark.createDataFrame(saves, "save_id long, id string, updated_at timestamp_ntz, arrived_at timestamp_ntz")
+        changed = capture.run(df, T + dt.timedelta(days=n))
+        counts.merge(frequency.deltas(table(spark, list(state.values())), table(spark, list(before.values())), changed), len(state) - len(before), run)
+        assert {tuple(r) for r in counts.rows().collect()} == {tuple(r) for r in frequency.deltas(table(spark, list(state.values()))).collect()}
+        assert counts.records() == len(state)
 
 
 def test_relevance(spark):
@@ -120,6 +212,8 @@ def test_relevance(spark):
     n, avg, k1, b = 4, (5 + 1 + 0 + 4) / 4, relevance.K1, relevance.B
     want = math.log1p((n - 1 + 0.5) / 1.5) * 3 * (k1 + 1) / (3 + k1 * (1 - b + b * 5 / avg))
     assert got[("a", "w")]["score"] == pytest.approx(want)
+    asked = relevance.score_terms(table(spark, rows), tf_least=3, df_most=1).collect()
+    assert {(r["id"], r["term"], r["score"]) for r in asked} == {("a", "w", got[("a", "w")]["score"])}
     assert got[("a", "w")]["score"] > got[("a", "v")]["score"] > got[("a", "u")]["score"]
 
 
