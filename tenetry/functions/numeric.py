@@ -56,19 +56,6 @@ def sign(feature: Column) -> Column:
     return F.when(slot(F.concat(feature, F.lit("#"))) % 2 == 1, 1.0).otherwise(-1.0)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense(vector: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A map from slot to weight as a plain array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(vector, i), F.lit(0.0)))
-
-
 def dashed_uuid(hex32: Column) -> Column:
     cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *(F.substring(hex32, a, n) for a, n in cut))
-
-
-def percent(value: Column) -> Column:
-    return F.concat(F.format_number(F.bround(value * 100, 0), 0), F.lit("%"))

@@ -125,6 +125,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 
 
+def runs(words: Column) -> Column:
+    """Distinct words as structs (term, tf), from the places where the sorted words change; no shuffle is needed to count."""
+    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    count = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
+    return let(F.array_sort(words), lambda s: let(starts(s), lambda at: count(s, at)))
+
+
 def stem(word: Column) -> Column:
     cut = (F.length(word) > 3) & word.endswith("s") & ~word.rlike("(?:ss|us|is)$")
     return F.when(cut, F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)

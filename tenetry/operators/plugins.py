@@ -1,4 +1,4 @@
-"""Plug-in points: model-backed extraction and grounding, client and embedder seams, and the vector cache.
+"""Plug-in points: model-backed extraction and grounding over any client and grounder.
 
 Models run inside ``mapInPandas``: a factory makes one client per worker, so nothing that cannot be pickled travels."""
 
@@ -8,15 +8,14 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenetry.functions import text
 
 EXTRACTION = (
-    "Extract the factual claims of the text, one per line and nothing else. Each must be a complete sentence that can be read alone, close to the "
-    "text's own words. Put two claims of one sentence on two lines. Use only what the text states; leave out questions, headings, instructions and opinions."
+    "Reply with plain lines, one statement of fact to a line, each ending in a full stop, without numbering or comments. A reader who sees only that line "
+    "must understand it, so name what it is about. Prefer the wording of the source: lines with other vocabulary are thrown away. No line for what asks, commands or guesses."
 )
 
 
@@ -65,17 +64,3 @@ def model_claims(rows: DataFrame, key: str, make_client: Callable[[], Client], m
             yield f[[grounder.supports(t, c) for t, c in zip(f["text"], f["claim"])]][[key, "pos", "claim"]]
 
     return found.mapInPandas(judge, f"{key} {kind}, pos int, claim string")
-
-
-def save_vectors(vectors: DataFrame, path: str, signature: str) -> None:
-    """Keep embedding rows (id, dim, weight) under the signature of what made them."""
-    vectors.write.mode("overwrite").parquet(f"{path}/signature={signature}")
-
-
-def load_vectors(spark: SparkSession, path: str, signature: str) -> DataFrame | None:
-    """The rows kept under this signature, or None where there are none or they cannot be read."""
-    try:
-        found = spark.read.parquet(f"{path}/signature={signature}")
-        return found if {"id", "dim", "weight"} <= set(found.columns) else None
-    except AnalysisException:
-        return None

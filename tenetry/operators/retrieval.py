@@ -1,21 +1,30 @@
-"""Ranked retrieval and grounding for many queries at once: an inverted index as a DataFrame, joined by term."""
+"""Ranked retrieval and grounding for many queries at once.
+
+Every search is a stated set of queries against all documents, in blocks: queries and documents are each parted by hash, and
+a task scores one block of queries against one block of documents and keeps the best of each query. Both sides are flat
+rows, nothing passes through the driver, and only the best of each pair of blocks is shuffled again."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenetry.functions import numeric, text
 from tenetry.schema import COVERAGE_AT, MIN_SIMILARITY, NGRAM, SUPPORTED_AT
-from tenetry.session import scalar
+from tenetry.session import materialize, scalar
 
-#: Query rows up to which the queries' terms are broadcast to the postings.
-BROADCAST_TERMS = 200_000
+#: (beliefs, queries, limit, within) -> rows (query_id, id, score, rank).
+Retriever = Callable[[DataFrame, DataFrame, int, bool], DataFrame]
+#: (rows, key, text) -> rows (key, dim, weight) of unit vectors.
+Embedder = Callable[[DataFrame, str, Column], DataFrame]
+#: Rows of one block at most, so that a pair of blocks fits a worker whatever the tables' size.
+QUERIES_PER_BLOCK, DOCUMENTS_PER_BLOCK = 20_000, 50_000
 
 
 def indexed_text() -> Column:
@@ -29,14 +38,17 @@ def documents(beliefs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Rows (id, term, tf). A document is one row, so partial sums meet on few rows."""
-    return docs.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Rows (id, term, tf), counted within each row."""
+    return docs.select("id", F.inline(text.runs(F.col("tokens")))).select("id", "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 def idf(docs: DataFrame) -> DataFrame:
     """Rows (term, df, idf) with idf = ln((n + 1) / (df + 1)) + 1 over the live beliefs."""
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = scalar(docs.select(F.count(F.lit(1)).cast("double")))
+    return _with_idf(df, scalar(docs.select(F.count(F.lit(1)).cast("double"))))
+
+
+def _with_idf(df: DataFrame, n: Column) -> DataFrame:
     return df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
 
 
@@ -45,205 +57,307 @@ def _top(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFrame
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def in_blocks(queries: DataFrame, n_queries: int, docs: DataFrame, n_docs: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``score(query rows, document rows)`` for every pair of a block of queries (by ``qkey``) and a block of documents (by ``id``).
+
+    As many pairs as there are cores, or more where blocks would be too large; the side with fewer rows is the one that is
+    repeated more often."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_q = max(math.ceil(n_queries / QUERIES_PER_BLOCK), min(cores, round(math.sqrt(cores * n_queries / max(n_docs, 1)))), 1)
+    n_d = max(math.ceil(n_docs / DOCUMENTS_PER_BLOCK), math.ceil(cores / n_q))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("*", block("qkey", n_q).alias("_qb"), every(n_d).alias("_db"))
+    right = docs.select("*", block("id", n_d).alias("_db"), every(n_q).alias("_qb"))
+    return left.groupBy("_qb", "_db").cogroup(right.groupBy("_qb", "_db")).applyInArrow(score, schema)
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the values of a column in the order of its sorted distinct values; nulls are -1."""
+    found = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    names = found.drop_null().unique().sort()
+    at = pa.compute.index_in(found, value_set=names)
+    return at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), names
+
+
+class _Slices:
+    """Which documents of a block a query may see: those of its own tier and scope, where it names them."""
+
+    def __init__(self, queries: pa.Table, docs: pa.Table, qn: np.ndarray, n_queries: int, dn: np.ndarray, n_docs: int):
+        self.want, self.own, self.seen = [], [], {}
+        for q, d in (("q_tier", "tier"), ("q_scope", "scope")) if "q_tier" in queries.column_names else ():
+            both, _ = _coded(pa.chunked_array([*queries[q].chunks, *docs[d].chunks], pa.string()))
+            want, own = np.full(n_queries, -1), np.full(n_docs, -1)
+            want[qn], own[dn] = both[: len(qn)], both[len(qn) :]
+            self.want.append(want)
+            self.own.append(own)
+
+    def key(self, query: int) -> tuple[int, ...]:
+        return tuple(int(w[query]) for w in self.want)
+
+    def mask(self, key: tuple[int, ...]) -> np.ndarray | None:
+        """Truth per document, or None where all are seen."""
+        if key not in self.seen:
+            masks = [own == v for v, own in zip(key, self.own) if v >= 0]
+            self.seen[key] = np.logical_and.reduce(masks) if masks else None
+        return self.seen[key]
+
+
+def _best_by_terms(k: int):
+    """The ``k`` best documents of each query of a block, term by term.
+
+    Work follows the postings of the query's own terms. The documents with its rarer terms give a floor; the frequent ones,
+    if they cannot reach it together, are only looked up for documents that may still get there."""
+
+    def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        out_q, out_d, out_s = [], [], []
+        qn, keys = _coded(queries["qkey"])
+        dn, ids = _coded(docs["id"])
+        if len(qn) and len(dn):
+            terms, tn = np.unique(np.r_[queries["term"].to_numpy(), docs["term"].to_numpy()], return_inverse=True)
+            qt, dt = tn[: len(qn)], tn[len(qn) :]
+            order = np.lexsort((dn, dt))
+            doc, impact = dn[order], (docs["tf"].to_numpy() / docs["norm"].to_numpy() * docs["confidence"].to_numpy())[order]
+            lo, hi = np.searchsorted(dt[order], np.arange(len(terms)), "left"), np.searchsorted(dt[order], np.arange(len(terms)), "right")
+            top = np.array([impact[a:b].max(initial=0.0) for a, b in zip(lo, hi)])
+            slices = _Slices(queries, docs, qn, len(keys), dn, len(ids))
+            order = np.lexsort((qt, qn))
+            qn, qt, w = qn[order], qt[order], queries["w"].to_numpy()[order]
+            starts = np.flatnonzero(np.r_[True, qn[1:] != qn[:-1]])
+            acc = np.zeros(len(ids))
+
+            def add(t: np.ndarray, x: np.ndarray, seen: np.ndarray | None) -> np.ndarray:
+                """Add the terms' postings to the sums; the documents touched, with repeats."""
+                parts = [np.zeros(0, np.int64)]
+                for u, y in zip(t, x):
+                    held, more = doc[lo[u] : hi[u]], y * impact[lo[u] : hi[u]]
+                    if seen is not None:
+                        held, more = held[seen[held]], more[seen[held]]
+                    acc[held] += more
+                    parts.append(held)
+                return np.concatenate(parts)
+
+            def kth(cand: np.ndarray, repeats: int) -> float:
+                """A floor that at least ``k`` of the touched documents reach, each of them touched ``repeats`` times at most."""
+                if k == 1:
+                    return acc[cand].max(initial=0.0)
+                n = k * max(int(repeats), 1)
+                return np.partition(acc[cand], len(cand) - n)[len(cand) - n] if len(cand) >= n else 0.0
+
+            for a, b in zip(starts, np.r_[starts[1:], len(qn)]):
+                seen = slices.mask(slices.key(qn[a]))
+                t, x = qt[a:b], w[a:b]
+                reach = x * top[t]
+                held = hi[t] > lo[t]
+                t, x, reach = t[held], x[held], reach[held]
+                if not len(t):
+                    continue
+                heavy = (hi[t] - lo[t]) * 8 > len(ids)
+                cand = add(t[~heavy], x[~heavy], seen)
+                floor = kth(cand, (~heavy).sum())
+                if heavy.any() and reach[heavy].sum() < floor:
+                    touched, cand = cand, np.unique(cand[acc[cand] >= floor - reach[heavy].sum() - 1e-6])
+                    for u, y in zip(t[heavy], x[heavy]):
+                        held = doc[lo[u] : hi[u]]
+                        at = np.searchsorted(held, cand).clip(max=len(held) - 1)
+                        acc[cand] += np.where(held[at] == cand, y * impact[lo[u] + at], 0.0)
+                else:
+                    touched = cand = np.concatenate([cand, add(t[heavy], x[heavy], seen)])
+                cand = np.unique(cand[acc[cand] >= kth(cand, len(t)) - 1e-6])
+                s = np.round(acc[cand], 6)
+                best = np.lexsort((cand, -s))[:k]
+                out_q.append(np.full(len(best), qn[a]))
+                out_d.append(cand[best])
+                out_s.append(s[best])
+                acc[touched] = 0.0
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({"qkey": keys.take(pa.array(join(out_q, np.int64))), "id": ids.take(pa.array(join(out_d, np.int64))), "score": pa.array(join(out_s, np.float64))})
+
+    return run
+
+
 def retrieve(beliefs: DataFrame, queries: DataFrame, limit: int = 5, within: bool = False) -> DataFrame:
     """Rows (query_id, id, score, rank): the best live beliefs for each query (query_id, query[, tier, scope]).
 
     The score sums tf * idf over the query's tokens, repeats counted, over the norm, times confidence, to 6 places. With
     ``within`` a query sees only its own tier and scope (null sees all), before the limit. Queries without tokens, or with
-    none that the index holds, give no rows. Only terms that some query asks for leave the index."""
-    docs = documents(beliefs)
-    keep = ["query_id", *(["q_tier", "q_scope"] if within else [])]
-    source = queries.where("query is not null")
-    if within:
-        source = source.withColumn("q_tier", F.col("tier")).withColumn("q_scope", F.col("scope"))
-    terms = source.select(*keep, F.explode(text.tokens(F.col("query"))).alias("term")).groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = terms.select("term").distinct()
-    post = docs.select("id", "confidence", "tier", "scope", "norm", F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
-    post = post.groupBy("id", "confidence", "tier", "scope", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = post.join(idf(docs), "term").join(terms, "term")
-    if within:
-        hits = hits.where("(q_tier is null or tier = q_tier) and (q_scope is null or scope = q_scope)")
-    parts = hits.groupBy("query_id", "id", "norm", "confidence").agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("s"))
-    return _top(parts.select("query_id", "id", F.round(F.col("s") / F.col("norm") * F.col("confidence"), 6).alias("score")), "query_id", limit)
-
-
-def _score_block(held, k: int, digits: int):
-    """Per partition: the ``k`` best documents for every query of a block, by adding up postings in arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, terms, weights, known = held.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(ids)
-        for b in batches:
-            if not b.num_rows or not len(known):
-                continue
-            lists = b.column(1)
-            keys, off = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
-            w = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(off))
-            at = np.searchsorted(known, keys).clip(max=len(known) - 1)
-            on = known[at] == keys
-            pair, back = np.unique(at[on] * b.num_rows + doc[on], return_inverse=True)
-            tf = np.bincount(back, weights=w[on], minlength=len(pair))
-            term, where = pair // b.num_rows, pair % b.num_rows
-            lo, hi = np.searchsorted(term, np.arange(len(known)), "left"), np.searchsorted(term, np.arange(len(known)), "right")
-            scale, names = b.column(3).to_numpy(), b.column(0).to_numpy(zero_copy_only=False)
-            for q in range(len(ids)):
-                s = np.zeros(b.num_rows)
-                for t, x in zip(terms[starts[q] : starts[q + 1]], weights[starts[q] : starts[q + 1]]):
-                    s[where[lo[t] : hi[t]]] += x * tf[lo[t] : hi[t]]
-                hit = np.flatnonzero(s)
-                if not len(hit):
-                    continue
-                s = np.round(s[hit] * scale[hit], digits)
-                if len(hit) > 4 * k:  # all that are no worse than the k-th, ties included
-                    floor = np.partition(s, len(s) - k)[len(s) - k]
-                    hit, s = hit[s >= floor], s[s >= floor]
-                s, n = np.r_[best[q][0], s], np.r_[best[q][1], names[hit]]
-                top = np.lexsort((n.astype(str), -s))[:k]
-                best[q] = (s[top], n[top])
-        n = [len(s) for s, _ in best]
-        if sum(n):
-            cols = [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([x for _, x in best]), pa.string()), pa.array(np.concatenate([s for s, _ in best]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "score"])
+    none that the index holds, give no rows. Queries that repeat are scored once. Only postings of terms that some query
+    asks for leave the index, which is cut into words once."""
+    slices = ["tier", "scope"] if within else []
+    asked, one = _distinct_queries(queries, within)
+    terms = one.select("qkey", *(f"q_{c}" for c in slices), F.inline(text.runs(text.tokens(F.col("query"))))).withColumnRenamed("tf", "qtf")
+    index = materialize(documents(beliefs).withColumn("terms", text.runs(F.col("tokens"))).drop("tokens"), "index")
+    post = index.select("id", "confidence", "norm", *slices, F.inline("terms"))
+    # one table for both sides: only the terms that some query asks for, with their numbers and weights
+    df = post.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = scalar(index.select(F.count(F.lit(1)).cast("double")))
+    weighed = materialize(_with_idf(df, n).select("term", "idf"), "asked-terms")
+    number = F.xxhash64("term").alias("term")
+    wanted = terms.join(weighed, "term").select("qkey", *(f"q_{c}" for c in slices), number, (F.col("qtf") * F.col("idf")).alias("w"))
+    held = post.join(weighed.select("term"), "term", "left_semi").select("id", number, F.col("tf").cast("double").alias("tf"), "norm", "confidence", *slices)
+    hits = in_blocks(wanted, one.count(), held, index.count(), _best_by_terms(limit), "qkey string, id string, score double")
+    return asked.join(_top(hits, "qkey", limit), "qkey").select("query_id", "id", "score", "rank")
+
+
+def features(words: DataFrame) -> DataFrame:
+    """Rows (word, feature, weight) of the hashing embedding of words: the word, its stem if it differs, and inner 4-grams."""
+    stemmed = text.stem(F.col("word"))
+    grams = F.when(F.length("word") > NGRAM, F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - NGRAM + 1, F.lit(1))), lambda i: F.struct(F.substr(F.col("word"), i, F.lit(NGRAM)).alias("feature"), F.lit(0.35).alias("weight"))))
+    none = F.array().cast("array<struct<feature:string,weight:double>>")
+    root = F.when(stemmed != F.col("word"), F.array(F.struct(stemmed.alias("feature"), F.lit(0.8).alias("weight"))))
+    return words.select("word", F.inline(F.concat(F.array(F.struct(F.col("word").alias("feature"), F.lit(1.0).alias("weight"))), F.coalesce(root, none), F.coalesce(grams, none))))
+
+
+def embed(rows: DataFrame, key: str, source: Column) -> DataFrame:
+    """Rows (key, dim, weight): unit vectors of signed feature hashes.
+
+    A text's vector is the sum of its words' vectors, so every distinct word is hashed once and texts only add up."""
+    counted = materialize(rows.select(key, F.inline(text.runs(text.tokens(source)))).withColumnRenamed("term", "word"), "embed-words")
+    hashed = features(counted.select("word").distinct()).select("word", numeric.slot(F.col("feature")).alias("dim"), (F.col("weight") * numeric.sign(F.col("feature"))).alias("w"))
+    # sums of a few decimal weights; rounding makes their order irrelevant
+    parts = hashed.groupBy("word", "dim").agg(F.round(F.sum("w"), 9).alias("w")).groupBy("word").agg(F.collect_list(F.struct("dim", "w")).alias("parts"))
+    raw = counted.join(parts, "word").select(key, "tf", F.inline("parts")).groupBy(key, "dim").agg(F.round(F.sum(F.col("tf") * F.col("w")), 9).alias("v")).where("v <> 0")
+    # the norm is taken over the dimensions of one text, a row's worth of numbers
+    packed = raw.groupBy(key).agg(F.collect_list(F.struct("dim", "v")).alias("parts"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return packed.select(key, "norm", F.inline("parts")).select(key, "dim", (F.col("v") / F.col("norm")).alias("weight"))
+
+
+def _dense(dims: int):
+    """Rows (key, dim, weight) as one matrix: (number of each row's key, matrix, keys)."""
+
+    def run(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        at, names = _coded(table[key])
+        m = np.zeros((len(names), dims))
+        m[at, table["dim"].to_numpy()] = table["weight"].to_numpy()
+        return at, m, names
 
     return run
 
 
-def score_all(docs: DataFrame, weighted: DataFrame, k: int, digits: int, block: int = 50_000) -> DataFrame:
-    """Rows (query_id, id, score, rank): the best documents by the sum of query weight times document weight over keys.
-
-    ``docs`` has (id, keys, weights, scale), ``weighted`` (query_id, key, w). The queries are set against all documents in
-    blocks of ``block``, which bounds what is broadcast; each partition keeps ``k`` documents a query. This is the plan for
-    many queries with frequent terms, whose postings a relational join would write out pair by pair."""
-    spark, found, held = docs.sparkSession, [], []
-
-    def flush() -> None:
-        keys = [np.array([x["key"] for x in r["q"]], dtype=np.int64) for r in held]
-        known, terms = np.unique(np.concatenate(keys), return_inverse=True)
-        starts = np.r_[0, np.cumsum([len(x) for x in keys])]
-        weights = np.array([x["w"] for r in held for x in r["q"]], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in held], dtype=np.int64), starts, terms, weights, known))
-        found.append(docs.select("id", "keys", "weights", "scale").mapInArrow(_score_block(shared, k, digits), "query_id bigint, id string, score double"))
-
-    for r in weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("key", "w"))).alias("q")).toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            flush()
-            held = []
-    if held:
-        flush()
-    if not found:
-        return spark.createDataFrame([], "query_id bigint, id string, score double, rank int")
-    return _top(reduce(DataFrame.unionByName, found), "query_id", k)
-
-
-def retrieve_many(beliefs: DataFrame, queries: DataFrame, limit: int = 1) -> DataFrame:
-    """As :func:`retrieve` without scopes, for many queries: (query_id, id, score, rank)."""
-    docs = documents(beliefs)
-    terms = queries.where("query is not null").select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = terms.join(idf(docs), "term").select("query_id", F.xxhash64("term").alias("key"), (F.col("qtf") * F.col("idf")).alias("w"))
-    keyed = docs.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("keys"), F.transform("tokens", lambda t: F.lit(1.0)).alias("weights"), (F.col("confidence") / F.col("norm")).alias("scale"))
-    return score_all(keyed, weighted, limit, 6)
-
-
-def features(key: str, source: Column, rows: DataFrame) -> DataFrame:
-    """Rows (key, feature, weight) of the hashing embedding: words, stems that differ, and inner 4-grams."""
-    toks = rows.select(key, F.explode(text.tokens(source)).alias("w"))
-    stemmed = text.stem(F.col("w"))
-    grams = F.when(F.length("w") > NGRAM, F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - NGRAM + 1, F.lit(1))), lambda i: F.struct(F.substr(F.col("w"), i, F.lit(NGRAM)).alias("feature"), F.lit(0.35).alias("weight"))))
-    none = F.array().cast("array<struct<feature:string,weight:double>>")
-    root = F.when(stemmed != F.col("w"), F.array(F.struct(stemmed.alias("feature"), F.lit(0.8).alias("weight"))))
-    return toks.select(key, F.inline(F.concat(F.array(F.struct(F.col("w").alias("feature"), F.lit(1.0).alias("weight"))), F.coalesce(root, none), F.coalesce(grams, none))))
+def _whole(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Rows (key, vector) as one matrix of unit vectors."""
+    names = table[key].combine_chunks()
+    order = pa.compute.sort_indices(names)
+    m = table["vector"].combine_chunks().take(order).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
+    return np.argsort(order.to_numpy()), m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None], names.take(order)
+
+
+def _best_by_product(k: int, digits: int, unpack: Callable[[pa.Table, str], tuple[np.ndarray, np.ndarray, pa.Array]], skip_self: bool = False):
+    """The ``k`` best documents of each query of a block by the product of their vectors, a slice of queries at a time."""
+
+    def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        keys, ids = queries["qkey"].combine_chunks(), docs["id"].combine_chunks()
+        if len(keys) and len(ids):
+            qn, q, keys = unpack(queries, "qkey")
+            dn, d, ids = unpack(docs, "id")
+            own = pa.compute.index_in(keys, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False)
+            slices = _Slices(queries, docs, qn, len(keys), dn, len(ids))
+            for a in range(0, len(keys), 512):
+                s = np.round(q[a : a + 512] @ d.T, digits)
+                if skip_self:
+                    rows = np.flatnonzero(own[a : a + 512] >= 0)
+                    s[rows, own[a : a + 512][rows]] = -np.inf
+                if slices.want:
+                    for i in range(len(s)):
+                        seen = slices.mask(slices.key(a + i))
+                        if seen is not None:
+                            s[i, ~seen] = -np.inf
+                if s.shape[1] > k:  # the k-th best of each row; what equals it stays in until ties are settled by id
+                    floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    row, col = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+                else:
+                    row, col = np.nonzero(np.isfinite(s))
+                v = s[row, col]
+                by = np.lexsort((col, -v, row))
+                row, col, v = row[by], col[by], v[by]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append((row[keep] + a, col[keep], v[keep]))
+        row, col, v = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"qkey": keys.take(pa.array(row)), "id": ids.take(pa.array(col)), "similarity": pa.array(v)})
 
+    return run
 
-def embed(rows: DataFrame, key: str, source: Column) -> DataFrame:
-    """Rows (key, dim, weight): unit vectors of signed feature hashes. Each distinct feature is hashed once."""
-    found = features(key, source, rows).groupBy(key, "feature").agg(F.sum("weight").alias("w"))
-    hashed = found.select("feature").distinct().select("feature", numeric.slot(F.col("feature")).alias("dim"), numeric.sign(F.col("feature")).alias("sign"))
-    raw = found.join(hashed, "feature").groupBy(key, "dim").agg(F.sum(F.col("w") * F.col("sign")).alias("v"))
-    # sums of a few decimal weights; rounding makes their order irrelevant
-    raw = raw.withColumn("v", F.round("v", 9)).where("v <> 0")
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, key).select(key, "dim", (F.col("v") / F.col("norm")).alias("weight"))
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """Rows (qkey, id, similarity, rank): the ``k`` nearest of ``vectors`` (id, dim, weight) to each of ``asked`` (qkey, dim, weight).
+
+    If ``asked`` has q_tier and q_scope and ``vectors`` tier and scope, a query sees its own slice only (null sees all)."""
+    size = lambda df, key: df.agg(F.count_distinct(key), F.coalesce(F.max("dim"), F.lit(0))).first()
+    (n_asked, dim_a), (n_vectors, dim_v) = size(asked, "qkey"), size(vectors, "id")
+    near = in_blocks(asked, n_asked, vectors, n_vectors, _best_by_product(k, 9, _dense(max(dim_a, dim_v) + 1), skip_self), "qkey string, id string, similarity double")
+    return _top(near, "qkey", k, "similarity")
 
 
-def vector_retrieve(beliefs: DataFrame, queries: DataFrame, limit: int = 5, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Rows (query_id, id, similarity, score, rank): nearest beliefs by hashed embedding.
+def _distinct_queries(queries: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
+    """(query_id, qkey) of all queries with a text, and one row (qkey, query[, q_tier, q_scope]) of those that are alike."""
+    tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    slices = ["tier", "scope"] if within else []
+    asked = queries.where("query is not null").select("query_id", F.md5(F.concat_ws("\u0001", tag("query"), *map(tag, slices))).alias("qkey"), "query", *slices)
+    one = asked.groupBy("qkey").agg(F.first("query").alias("query"), *(F.first(c).alias(f"q_{c}") for c in slices))
+    return asked.select("query_id", "qkey"), one
+
+
+def vector_retrieve(
+    beliefs: DataFrame, queries: DataFrame, limit: int = 5, within: bool = False, min_similarity: float = MIN_SIMILARITY, vectors: DataFrame | None = None, embedder: Embedder = embed
+) -> DataFrame:
+    """Rows (query_id, id, similarity, score, rank): nearest beliefs by embedding.
 
     The 3 * limit most similar are taken, those under ``min_similarity`` dropped, and the rest ranked by similarity times
-    confidence. Repeated query texts are embedded and searched for once."""
+    confidence. Repeated query texts are embedded and searched for once; ``within`` is as in :func:`retrieve`. ``vectors``
+    are those of a kept index (:class:`tenetry.operators.vectors.VectorIndex`); without them the live beliefs are embedded
+    here."""
     live = beliefs.where("superseded_by is null")
-    index = embed(live, "id", indexed_text()).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dim", "weight"))).alias("v"))
-    docs = index.select("id", F.transform("v", lambda x: x["dim"].cast("bigint")).alias("keys"), F.transform("v", lambda x: x["weight"]).alias("weights"), F.lit(1.0).alias("scale"))
-    asked = queries.where("query is not null").select("query_id", "query", F.xxhash64("query").alias("qkey"))
-    vectors = embed(asked.select("qkey", "query").dropDuplicates(["qkey"]), "qkey", F.col("query"))
-    weighted = vectors.select(F.col("qkey").alias("query_id"), F.col("dim").cast("bigint").alias("key"), F.col("weight").alias("w"))
-    sims = score_all(docs, weighted, 3 * limit, 9).withColumnRenamed("query_id", "qkey").withColumnRenamed("score", "similarity")
-    near = sims.where(F.col("similarity") >= min_similarity).drop("rank")
+    facts = live.select("id", *(["tier", "scope"] if within else []))
+    index = materialize((embedder(live, "id", indexed_text()) if vectors is None else vectors).join(facts, "id"), "vectors")
+    asked, one = _distinct_queries(queries, within)
+    wanted = embedder(one, "qkey", F.col("query"))
+    wanted = materialize(wanted.join(one.drop("query"), "qkey") if within else wanted, "query-vectors")
+    near = nearest(index, wanted, 3 * limit).where(F.col("similarity") >= min_similarity).drop("rank")
     scored = near.join(live.select("id", "confidence"), "id").withColumn("score", F.round(F.col("similarity") * F.col("confidence"), 6))
     best = _top(scored, "qkey", limit).select("qkey", "id", "similarity", "score", "rank")
-    return asked.select("query_id", "qkey").join(best, "qkey").drop("qkey")
-
-
-def _nearest(held, limit: int):
-    """Per partition: the best rows for every query of a block, by one matrix product per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = held.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows, m = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), dtype=np.float64)
-            m /= np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
-            sims = np.round(unit @ m.T, 6)
-            for q in range(len(ids)):
-                s, r = np.r_[best[q][0], sims[q]], np.r_[best[q][1], rows]
-                top = np.lexsort((r, -s))[:limit]
-                best[q] = (s[top], r[top])
-        n = [len(s) for s, _ in best]
-        if sum(n):
-            cols = [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([r for _, r in best])), pa.array(np.concatenate([s for s, _ in best]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "similarity"])
+    return asked.join(best, "qkey").drop("qkey")
+
+
+def by_vectors(min_similarity: float = MIN_SIMILARITY, vectors: DataFrame | None = None, embedder: Embedder = embed) -> Retriever:
+    """Vector retrieval in the form of a retriever."""
+    return lambda beliefs, queries, limit=5, within=False: vector_retrieve(beliefs, queries, limit, within, min_similarity, vectors, embedder).drop("similarity")
 
-    return run
 
+RETRIEVERS: dict[str, Retriever] = {}
 
-def dense_search(vectors: DataFrame, queries: DataFrame, limit: int = 5, block: int = 20_000) -> DataFrame:
+
+def get_retriever(retriever: str | Retriever) -> Retriever:
+    """A retriever by name, or any function of that form as it is."""
+    if callable(retriever):
+        return retriever
+    if retriever not in RETRIEVERS:
+        raise ValueError(f"unknown retriever {retriever!r}; choose from {sorted(RETRIEVERS)}, or pass a function")
+    return RETRIEVERS[retriever]
+
+
+RETRIEVERS |= {"lexical": retrieve, "vector": by_vectors()}
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """Rows (query_id, id, similarity, rank): the nearest dense vectors (id, vector) by cosine, ties by id.
 
-    The stated queries are set against all rows in blocks of ``block`` queries, which bounds what is broadcast; each
-    partition keeps ``limit`` rows per query, so only those are shuffled. Null vectors take no part."""
-    spark, found, held = vectors.sparkSession, [], []
-
-    def flush() -> None:
-        m = np.array([v for _, v in held], dtype=np.float64)
-        m /= np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in held], dtype=np.int64), m))
-        found.append(vectors.where("vector is not null").select("id", "vector").mapInArrow(_nearest(shared, limit), "query_id bigint, id bigint, similarity double"))
-
-    for r in queries.where("vector is not null").select("id", "vector").toLocalIterator():
-        held.append((r["id"], r["vector"]))
-        if len(held) == block:
-            flush()
-            held = []
-    if held:
-        flush()
-    if not found:
-        return spark.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
-    return _top(reduce(DataFrame.unionByName, found), "query_id", limit, "similarity")
-
-
-def neighbour_pairs(beliefs: DataFrame, k: int = 10) -> DataFrame:
-    """Rows (a, b), a < b: pairs of which one is among the other's ``k`` nearest by hashed embedding."""
+    Null vectors take no part. The stated queries are set against all rows in blocks."""
+    docs = vectors.where("vector is not null").select("id", "vector")
+    asked = queries.where("vector is not null").select(F.col("id").alias("qkey"), "vector")
+    near = in_blocks(asked, asked.count(), docs, docs.count(), _best_by_product(limit, 6, _whole), "qkey bigint, id bigint, similarity double")
+    return _top(near, "qkey", limit, "similarity").withColumnRenamed("qkey", "query_id")
+
+
+def neighbour_pairs(beliefs: DataFrame, k: int = 10, asked: Column | None = None, embedder: Embedder = embed) -> DataFrame:
+    """Rows (a, b), a < b: pairs of which one is among the other's ``k`` nearest by embedding, ties by id.
+
+    ``asked`` tells which beliefs look for neighbours, among all; by default every one does."""
     live = beliefs.where("superseded_by is null")
-    index = embed(live, "id", indexed_text())
-    # slots that nearly all texts fill say nothing; the pairs that count share others too
-    sims = index.join(index.select(F.col("id").alias("other"), "dim", F.col("weight").alias("w2")), "dim").where("id <> other")
-    near = sims.groupBy("id", "other").agg(F.round(F.sum(F.col("weight") * F.col("w2")), 9).alias("similarity"))
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    index = materialize(embedder(live, "id", indexed_text()), "vectors")
+    seekers = index if asked is None else index.where(asked)
+    near = nearest(index, seekers.withColumnRenamed("id", "qkey"), k, skip_self=True)
+    return near.select(F.least("qkey", "id").alias("a"), F.greatest("qkey", "id").alias("b")).distinct()
 
 
 def refreshed(index: DataFrame, changes: DataFrame, beliefs: DataFrame) -> DataFrame:
@@ -260,22 +374,23 @@ def coverage(claim_tokens: Column, doc_tokens: Column) -> Column:
     return F.when(F.size(wanted) > 0, F.round(F.size(F.array_intersect(wanted, doc_tokens)) / F.size(wanted), 6)).otherwise(0.0)
 
 
-def check(beliefs: DataFrame, claims: DataFrame, threshold: float = SUPPORTED_AT, coverage_at: float = COVERAGE_AT) -> DataFrame:
-    """Claims (claim_id, claim) with relevance, coverage, supported and, where supported, the belief's id."""
-    distinct = claims.select("claim_id", "claim", F.xxhash64("claim").alias("query_id"))
-    hits = retrieve_many(beliefs, distinct.select("query_id", F.col("claim").alias("query")).dropDuplicates(["query_id"]))
-    docs = documents(beliefs).select("id", "tokens")
-    best = distinct.join(hits.select("query_id", "id", "score"), "query_id", "left").join(docs, "id", "left")
+def check(beliefs: DataFrame, claims: DataFrame, threshold: float = SUPPORTED_AT, coverage_at: float = COVERAGE_AT, retriever: Retriever = retrieve) -> DataFrame:
+    """Claims (claim_id, claim) with relevance, coverage, supported and, where supported, the belief's id.
+
+    A claim that occurs more than once is searched for once."""
+    asked = materialize(claims.select("claim_id", "claim"), "claims")
+    hits = retriever(beliefs, asked.select(F.col("claim_id").alias("query_id"), F.col("claim").alias("query")), 1, False)
+    best = asked.join(hits.select(F.col("query_id").alias("claim_id"), "id", "score"), "claim_id", "left").join(documents(beliefs).select("id", "tokens"), "id", "left")
     cov = F.when(F.col("tokens").isNotNull(), coverage(text.tokens(F.col("claim")), F.col("tokens"))).otherwise(0.0)
     out = best.select("claim_id", "claim", "id", F.coalesce("score", F.lit(0.0)).alias("relevance"), cov.alias("coverage"))
     out = out.withColumn("supported", F.col("id").isNotNull() & (F.col("relevance") >= threshold) & (F.col("coverage") >= coverage_at))
     return out.select("claim_id", "claim", "supported", "relevance", "coverage", F.when(F.col("supported"), F.col("id")).alias("belief_id"))
 
 
-def ground(beliefs: DataFrame, answers: DataFrame) -> DataFrame:
+def ground(beliefs: DataFrame, answers: DataFrame, retriever: Retriever = retrieve) -> DataFrame:
     """Answers (answer_id, text) checked claim by claim: (answer_id, claims, supported, score); score is their share."""
     claims = answers.where("text is not null").select("answer_id", F.posexplode(text.claims_to_verify(F.col("text"))).alias("pos", "claim"))
-    checked = check(beliefs, claims.select(F.struct("answer_id", "pos").alias("claim_id"), "claim"))
+    checked = check(beliefs, claims.select(F.struct("answer_id", "pos").alias("claim_id"), "claim"), retriever=retriever)
     per = checked.groupBy(F.col("claim_id.answer_id").alias("answer_id")).agg(F.count(F.lit(1)).alias("claims"), F.sum(F.col("supported").cast("bigint")).alias("supported"))
     out = answers.select("answer_id").join(per, "answer_id", "left").na.fill(0, ["claims", "supported"])
     return out.withColumn("score", F.when(F.col("claims") > 0, F.round(F.col("supported") / F.col("claims"), 4)).otherwise(0.0))

@@ -277,6 +277,17 @@ def vector_topk(spark, d):
     return retrieval.vector_retrieve(beliefs(spark, d), asked(spark, d)).select("query_id", "id", "similarity", "score")
 
 
+@query
+def scoped_vector_topk(spark, d):
+    return retrieval.by_vectors()(beliefs(spark, d), asked(spark, d), 5, True)
+
+
+@query
+def knn_pairs(spark, d):
+    """Candidate pairs by ten nearest neighbours: each belief whose number is divisible by 20 against all."""
+    return retrieval.neighbour_pairs(beliefs(spark, d), asked=F.conv(F.right("id", F.lit(8)), 16, 10).cast("bigint") % 20 == 0)
+
+
 @query
 def dense_cosine_topk(spark, d):
     """Each twentieth vector against all."""

@@ -15,7 +15,7 @@ DATA = "/root/testdata"
 
 
 def views(d: str):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": "/tmp/duckdb", "max_temp_directory_size": "4GB"})
     con.execute("set timezone='UTC'")
     for p in glob.glob(f"{d}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")

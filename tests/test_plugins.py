@@ -29,21 +29,20 @@ def test_model_claims(spark):
     assert [r["request_id"] for r in plugins.model_claims(rows, "request_id", Stub, Strict).collect()] == [1]
 
 
-def test_vector_cache(spark, tmp_path):
+def test_word_forms_are_near(spark):
     rows = spark.createDataFrame([("a", "request"), ("b", "requests")], "id string, t string")
     v = retrieval.embed(rows, "id", F.col("t"))
-    plugins.save_vectors(v, str(tmp_path), "v1")
-    again = plugins.load_vectors(spark, str(tmp_path), "v1")
-    assert again.count() == v.count() and plugins.load_vectors(spark, str(tmp_path), "v2") is None
     dot = v.alias("x").join(v.alias("y"), "dim").where("x.id = 'a' and y.id = 'b'").agg(F.sum(F.col("x.weight") * F.col("y.weight"))).first()[0]
     assert dot > 0.5
 
 
-def test_dense_search_in_blocks(spark):
+def test_dense_search_in_blocks(spark, monkeypatch):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)] + [(99, None)]
     df = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
     one = sorted(map(tuple, retrieval.dense_search(df, df.where("id % 5 = 0"), 3).collect()))
-    many = sorted(map(tuple, retrieval.dense_search(df, df.where("id % 5 = 0"), 3, block=2).collect()))
+    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "DOCUMENTS_PER_BLOCK", 7)
+    many = sorted(map(tuple, retrieval.dense_search(df, df.where("id % 5 = 0"), 3).collect()))
     assert one == many and len(one) == 24 and all(r[2] == 1.0 for r in one if r[3] == 1)
     assert retrieval.dense_search(df, df.where("id < 0"), 3).count() == 0
 

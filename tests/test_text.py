@@ -11,45 +11,46 @@ def one(spark, f, *args):
     return df.select(f(*(F.col(f"a{i}") for i in range(len(args)))).alias("x")).first()["x"]
 
 
-DOC = """# Notes on qubits
+PAGE = """# Field log of the survey boat
 
-A qubit holds a superposition of two
-states at once. Is it useful?
+The echo sounder was recalibrated
+before the second transect. Did the tide matter?
 
-- Rust is memory-safe.
-- Read-only mode
+* The hull draws less than two metres.
+* Spare cable drum
 """
-MARKDOWN = """# Title
+LISTED = """## Stations
 
-| a | b |
-|---|---|
-| x | y |
+| buoy | depth |
+|------|-------|
+| 14   | 40 m  |
 
-```
-code is not prose at all here.
-```
+~~~
+salinity(buoy) returns a plain number here.
+~~~
 
-Six limits that the engine targets directly:
+Three things the crew reports every morning:
 
-- Decay lets a disproven belief drop to zero and leave
-  active reasoning for good.
-- **Evolve** means that [confidence](http://x.y) rises with `evidence`.
+1. Wind above twelve knots keeps the drone
+   on deck all day.
+2. __Ballast__ means that [the keel](http://boat.example) sits `deeper` than planned.
 """
 
 
-def test_sentences_glue_abbreviations(spark):
-    assert one(spark, text.sentences, "Used in ML, e.g. vision. Rust is fast.") == ["Used in ML, e.g. vision.", "Rust is fast."]
+def test_abbreviations_do_not_end_a_sentence(spark):
+    assert one(spark, text.sentences, "Two gauges, approx. a mile apart, failed. The third one held.") == ["Two gauges, approx. a mile apart, failed.", "The third one held."]
+    assert one(spark, text.sentences, "Ask Dr. Quell. She knows!") == ["Ask Dr. Quell.", "She knows!"]
 
 
-def test_claims_of_a_document(spark):
-    assert one(spark, text.claims, DOC) == ["A qubit holds a superposition of two states at once.", "Rust is memory-safe."]
+def test_claims_of_a_page(spark):
+    assert one(spark, text.claims, PAGE) == ["The echo sounder was recalibrated before the second transect.", "The hull draws less than two metres."]
 
 
-def test_claims_of_markdown(spark):
-    assert one(spark, text.claims, MARKDOWN) == ["Decay lets a disproven belief drop to zero and leave active reasoning for good.", "Evolve means that confidence rises with evidence."]
+def test_claims_of_lists(spark):
+    assert one(spark, text.claims, LISTED) == ["Wind above twelve knots keeps the drone on deck all day.", "Ballast means that the keel sits deeper than planned."]
 
 
-@pytest.mark.parametrize("s, kept", [("Rust is fast.", True), ("See figure 3.", False), ("Install the package.", False), ("Table of contents.", False), ("Well-known best-practice guide", False)])
+@pytest.mark.parametrize("s, kept", [("Lead is soft.", True), ("Compare table 9.", False), ("Tighten the bolt.", False), ("List of charts.", False), ("Two-stage low-noise amplifier", False), ("Is lead soft?", False)])
 def test_short_claims_need_a_verb(spark, s, kept):
     assert one(spark, text.claims, s) == ([s] if kept else [])
 
@@ -57,12 +58,13 @@ def test_short_claims_need_a_verb(spark, s, kept):
 @pytest.mark.parametrize(
     "s, parts",
     [
-        ("Rust is fast and has no garbage collector.", ["Rust is fast.", "Rust has no garbage collector."]),
-        ("Rust is compiled; Python is interpreted.", ["Rust is compiled.", "Python is interpreted."]),
-        ("Rust is fast and safe.", []),
+        ("The mast is hollow and has no stays.", ["The mast is hollow.", "The mast has no stays."]),
+        ("Copper is ductile; glass is brittle.", ["Copper is ductile.", "Glass is brittle."]),
+        ("The winch is old but has new brakes.", ["The winch is old.", "The winch has new brakes."]),
+        ("The deck is wet and cold.", []),
+        ("but", []),
         ("", []),
-        ("and", []),
-        ("Rust is fast.", []),
+        ("The deck is wet.", []),
     ],
 )
 def test_split_claims(spark, s, parts):
@@ -70,25 +72,25 @@ def test_split_claims(spark, s, parts):
 
 
 def test_tokens_stems_polarity(spark):
-    assert one(spark, text.tokens, "A qubit is in the state of X") == ["qubit", "state"]
-    assert one(spark, text.stems, "Requests class status basis gas requests") == ["request", "class", "status", "basis", "gas"]
-    assert one(spark, text.normalise, "Rust, which is FAST,  is used.") == "rust which is fast is used"
-    assert one(spark, text.polarity, "Rust has no garbage collector") == 1
-    assert one(spark, text.polarity, "Rust is not without a runtime") == 0
+    assert one(spark, text.tokens, "A buoy is in the bay of B") == ["buoy", "bay"]
+    assert one(spark, text.stems, "Anchors mass campus axis bus anchors") == ["anchor", "mass", "campus", "axis", "bus"]
+    assert one(spark, text.normalise, "The KEEL; which is heavy,   is  new!") == "the keel which is heavy is new"
+    assert one(spark, text.polarity, "The keel has no bolts") == 1
+    assert one(spark, text.polarity, "The keel is not without bolts") == 0
 
 
 def test_replies_and_passages(spark):
-    assert one(spark, text.reply_claims, "- a claim here.\n\n2. another one\n---") == ["a claim here.", "another one."]
-    source = "Zero is a number. One is odd. Qubits hold states. Two is even."
-    assert one(spark, text.passage_for, "Do qubits hold states", source) == "One is odd. Qubits hold states."
-    assert one(spark, text.claims_to_verify, "Why? How?") == ["Why? How?"]
+    assert one(spark, text.reply_claims, "* first thing seen.\n\n7) second thing seen\n***") == ["first thing seen.", "second thing seen."]
+    source = "Gulls nest early. Terns nest late. Buoys drift with ice. Seals sleep ashore."
+    assert one(spark, text.passage_for, "Does ice make buoys drift", source) == "Terns nest late. Buoys drift with ice."
+    assert one(spark, text.claims_to_verify, "Where? When?") == ["Where? When?"]
     assert one(spark, text.claims_to_verify, "  ") == []
 
 
 def test_vocabulary(spark):
-    source = "Rust guarantees memory safety without a garbage collector."
-    assert one(spark, text.grounded_in, "Rust guarantees memory safety.", source) is True
-    assert one(spark, text.grounded_in, "Cheese orbits the moon.", source) is False
+    source = "The harbour keeps a tide table without any software."
+    assert one(spark, text.grounded_in, "The harbour keeps a tide table.", source) is True
+    assert one(spark, text.grounded_in, "Bakers grind their own flour.", source) is False
 
 
 def test_numbers(spark):
