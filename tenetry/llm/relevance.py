@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenetry.llm.words import let, norm, split_words
+from tenetry.functions.text import runs
+from tenetry.llm.words import norm, split_words
 from tenetry.session import materialize, scalar
 
 HOT_SHARE = 10_000
@@ -23,17 +24,10 @@ def text_of(statement: str = "statement", evidence: str = "evidence") -> Column:
     return F.concat_ws(" ", F.col(statement), F.array_join(snippets, " "))
 
 
-def _runs(words: Column) -> Column:
-    """Distinct words with their counts, from the places where the sorted words change."""
-    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
-    return let(F.array_sort(words), lambda s: let(starts(s), lambda at: runs(s, at)))
-
-
 def records(beliefs: DataFrame) -> DataFrame:
     """Rows (id, length, terms): each record's number of words and its distinct words with their counts."""
     w = beliefs.select("id", split_words(norm(text_of())).alias("w"))
-    return w.select("id", F.size("w").alias("length"), _runs(F.col("w")).alias("terms"))
+    return w.select("id", F.size("w").alias("length"), runs(F.col("w")).alias("terms"))
 
 
 def _saturated(tf: Column, length: Column, mean: Column, k1: float, b: float) -> Column:

@@ -7,7 +7,10 @@ get a cut behind them, the text is split there, and the sentences are read from
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenetry.llm.words import let
@@ -46,7 +49,8 @@ def _lines(text: Column) -> Column:
 
     def kind(line: Column) -> Column:
         return (
-            F.when(line.rlike(r"^\s*$") | line.rlike(r"^\s*\|") | line.rlike(r"^\s*([-*_=])(?:\s*\1){2,}\s*$"), "none")
+            F.when(~line.rlike(r"^\s*(?:$|[|\-*_=#+•‣\d])"), "text")  # nothing else makes a line special
+            .when(line.rlike(r"^\s*$") | line.rlike(r"^\s*\|") | line.rlike(r"^\s*([-*_=])(?:\s*\1){2,}\s*$"), "none")
             .when(line.rlike(r"^\s{0,3}#{1,6}\s"), "head")
             .when(line.rlike(r"^\s*(?:[-*+•‣]|1[.)])\s"), "item")
             .when(line.rlike(r"^\s*\d{1,3}[.)]\s"), "number")
@@ -55,7 +59,7 @@ def _lines(text: Column) -> Column:
 
     def place(lines: Column, fences: Column) -> Column:
         coded = lambda i: F.coalesce(F.get(lines, i).rlike(_CODE), F.lit(False)) | (F.size(F.filter(fences, lambda f: f <= i)) % 2 == 1)
-        kinds = F.transform(lines, lambda line, i: F.when(coded(i), "none").otherwise(kind(line)))
+        kinds = F.transform(lines, lambda line, i: F.when((F.size(fences) > 0) & coded(i), "none").otherwise(kind(line)))
 
         def out(kinds: Column) -> Column:
             at = lambda i: F.coalesce(F.when(i >= 0, F.get(kinds, i)), F.lit("none"))
@@ -68,8 +72,9 @@ def _lines(text: Column) -> Column:
 
         return let(kinds, out)
 
-    where = lambda lines: F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(_CODE), i)), lambda i: i.isNotNull())
-    flat = F.regexp_replace(F.regexp_replace(text, "\r\n", " \n"), "[\r  \u0085]", "\n")
+    fenced = F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~"))
+    where = lambda lines: F.when(fenced, F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(_CODE), i)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+    flat = F.translate(F.replace(text, F.lit("\r\n"), F.lit(" \n")), "\r\u2028\u2029\x85", "\n\n\n\n")
     return let(F.split(flat, "\n"), lambda lines: let(where(lines), lambda fences: place(lines, fences)))
 
 
@@ -77,10 +82,23 @@ def _spaces(line: Column, marker: str) -> Column:
     return F.repeat(F.lit(BLANK), F.length(F.regexp_extract(line, marker, 0)))
 
 
-def _masked(s: Column) -> Column:
-    # what lies before a stop is looked at only where there is one; a quotation is looked through once, from its opening
-    # mark, and then stop by stop, each from where the one before it was, so that long ones stay linear
-    marks, stops = "“”「」『』«»„", f".!?…{STOP}"
+def _step(df: DataFrame, pattern: str, to: str, needs: Column | None = None) -> DataFrame:
+    """Replace in ``_s``, only in texts that hold what the pattern needs: a byte search costs far less than a pattern."""
+    done = F.regexp_replace("_s", pattern, to)
+    return df.withColumn("_s", done if needs is None else F.when(needs, done).otherwise(F.col("_s")))
+
+
+def _has(signs: str) -> Column:
+    return reduce(or_, (F.contains(F.col("_s"), F.lit(c)) for c in signs))
+
+
+def _masked(df: DataFrame) -> DataFrame:
+    # each pattern starts at the sign it is about and looks around only there; addresses and quotations are looked through
+    # once, from their beginning and then stop by stop, each from where the one before it was, so that long ones stay linear
+    marks, stops, word = "“”「」『』«»„", f".!?…{STOP}", r"\p{L}\p{N}._+-"
+    outer, inner = (rf"(?<=(?<![\p{{L}}\p{{N}}])(?i:{_alternatives(x)})\.)" for x in (_OUTER, _INNER))
+    before_capital = rf"{_CL}*(?:\s+{_OPEN}*[\p{{Lu}}\p{{Lo}}¿¡]|\s*$|\s*{HARD})"
+    letter = r"(?<![\p{L}\p{N}\p{M}])\p{L}"
 
     def speech(opening: str, marks: str, stops: str, after: str = "") -> tuple[str, str]:
         return rf"((?:{opening}|\G(?!\A))[^{marks}{HARD}{stops}]*+)[{stops}]{after}", "$1" + MASK
@@ -89,50 +107,69 @@ def _masked(s: Column) -> Column:
         return speech(rf"[{marks}](?=[^{marks}{HARD}]*+{closing},?\s+{_SMALL})", marks, stops)
 
     worded = lambda marks: rf"(?=[^{marks}{HARD}\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])"
-    steps = [
-        # single dots of an ellipsis become one sign each
-        (r"\.(?=\.\.)|(?<=\.\.)\.|(?<=\.)\.(?=\.)", "…"),
-        (rf"[.?!](?<=(?:https?://|www\.)[^\s<>{HARD}]{{0,300}}.)(?=[^\s<>{HARD}])", MASK),
-        (r"\.(?=[\p{L}\p{N}._+-]{0,64}@\S)|(?<=@[\p{L}\p{N}.-]{0,100})\.(?=[\p{L}\p{N}])", MASK),
-        (r"(?<=\p{N})[.．](?=\p{N})", MASK),
-        # abbreviations that may end a sentence do so before a capital or another script
-        (rf"(?i)(?<![\p{{L}}\p{{N}}])({_alternatives(_OUTER)})\.(?={_CL}*(?:\s+{_OPEN}*(?-i:[\p{{Lu}}\p{{Lo}}¿¡])|\s*$|\s*{HARD}))", "$1" + STOP),
-        (rf"(?i)(?<![\p{{L}}\p{{N}}])({_alternatives(_OUTER)})\.", "$1" + MASK),
-        (rf"(?i)(?<![\p{{L}}\p{{N}}])({_alternatives(_INNER)})\.(?!\s*(?:$|{HARD}))", "$1" + MASK),
-        (r"(?<![\p{L}\p{N}\p{M}])(\p{L})\.(?=[\s\p{L}\p{N},;)])", "$1" + MASK),
-        (rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(\p{{L}}{MASK}[  ]?\p{{L}})\.(?=\s)", "$1" + MASK),
-        (r"(?<![\p{L}\p{M}])(डॉ|प्रो|श्री|ดร|น|أ|م)\.(?=\s)", "$1" + MASK),
-        (rf"(?<=(?<!\p{{N}})\p{{N}}{{1,2}})\.(?=\s+(?:{_MONTHS})(?!\p{{L}}))", MASK),
-        # the same sentence goes on after an ellipsis and a small letter
-        (rf"…(?=…*{_CLOSERS}*\s+{_SMALL})", MASK),
-        # speech: what introduces or attributes it keeps it in one sentence
-        speech(rf"[“「『«»„](?<=[:：,，、]\s{{0,3}}.)(?=[^{marks}{HARD}]*+[”“」』»«])", marks, stops + "。！？؟।", worded(marks)),
-        speech(rf'"(?<=[:,]\s{{0,3}}.)(?=[^"{HARD}]*+")', '"', stops, worded('"')),
-        attributed("“”„", "”"),
-        attributed("«»", "»"),
-        attributed("„“”", "“"),
-        (rf"[.!?…{STOP}](?=[.!?…]*{_CLOSERS}+,?\s+{_SMALL})", MASK),
-        (r"[。！？](?=[。！？]*[”」』]+(?:と|って))", MASK),
-        (r"[。！？](?=[。！？]*[”」』]+[^。！？，、\s]{0,10}?[说説问問道答写称喊]道?[。，：、])", MASK),
+    # single dots of an ellipsis become one sign each
+    df = _step(df, r"\.(?=\.\.)|(?<=\.\.)\.|(?<=\.)\.(?=\.)", "…", F.contains("_s", F.lit("..")))
+    # web addresses and mail
+    df = _step(df, rf"((?:https?://|www\.|\G(?!\A))[^\s<>{HARD}.?!]*+)[.?!](?=[^\s<>{HARD}])", "$1" + MASK, F.contains("_s", F.lit("://")) | F.contains("_s", F.lit("www.")))
+    df = _step(df, rf"((?:(?<![{word}])(?=[{word}]*+@\S)|\G(?!\A))[\p{{L}}\p{{N}}_+@-]*+)\.(?=[{word}]*+@\S|[\p{{L}}\p{{N}}])", "$1" + MASK, _has("@"))
+    # abbreviations that may end a sentence do so before a capital or another script
+    df = _step(df, rf"\.{outer}(?={before_capital})", STOP)
+    stays = [
+        r"(?<=\p{N}.)(?=\p{N})",
+        outer,
+        rf"{inner}(?!\s*(?:$|{HARD}))",
+        rf"(?<={letter}\.)(?=[\s\p{{L}}\p{{N}},;)])",
+        rf"(?<={letter}[.{MASK}][ \u00a0]?\p{{L}}\.)(?=\s)",
+        r"(?<=(?<![\p{L}\p{M}])(?:डॉ|प्रो|श्री|ดร|น|أ|م)\.)(?=\s)",
+        rf"(?<=(?<!\p{{N}})\p{{N}}{{1,2}}\.)(?=\s+(?:{_MONTHS})(?!\p{{L}}))",
     ]
-    for pattern, to in steps:
-        s = F.regexp_replace(s, pattern, to)
-    return s
-
-
-def _cut(s: Column) -> Column:
-    marks = [
-        (rf"[.!?…؟۔।॥{STOP}]+{_CLOSERS}*{_END}", "$0" + CUT),
+    df = _step(df, rf"\.(?:{'|'.join(stays)})|．(?<=\p{{N}}.)(?=\p{{N}})", MASK)
+    # the same sentence goes on after an ellipsis and a small letter
+    df = _step(df, rf"…(?=…*{_CLOSERS}*\s+{_SMALL})", MASK, _has("…"))
+    # speech: what introduces or attributes it keeps it in one sentence
+    df = _step(df, *speech(rf"[“「『«»„](?<=[:：,，、]\s{{0,3}}.)(?=[^{marks}{HARD}]*+[”“」』»«])", marks, stops + "。！？؟।", worded(marks)), _has("“「『«»„") & F.col("_s").rlike(r"[:：,，、]\s{0,3}[“「『«»„]"))
+    df = _step(df, *speech(rf'"(?<=[:,]\s{{0,3}}.)(?=[^"{HARD}]*+")', '"', stops, worded('"')), _has('"'))
+    for signs, closing in (("“”„", "”"), ("«»", "»"), ("„“”", "“")):
+        df = _step(df, *attributed(signs, closing), _has(closing) & F.col("_s").rlike(rf"{closing},?\s+{_SMALL}"))
+    df = _step(df, rf"[.!?…{STOP}](?=[.!?…]*{_CLOSERS}+,?\s+{_SMALL})", MASK)
+    quoted = _has("。！？") & _has("”」』")
+    df = _step(df, r"[。！？](?=[。！？]*[”」』]+(?:と|って))", MASK, quoted)
+    return _step(df, r"[。！？](?=[。！？]*[”」』]+[^。！？，、\s]*?[说説问問道答写称喊]道?[。，：、])", MASK, quoted)
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    ends = [
+        rf"[.!?…؟۔।॥{STOP}]+{_CLOSERS}*{_END}",
         # a lost space between two sentences
-        (r"(?<=[\p{Ll}\p{N}])([.!?]+)(?=\p{Lu}\p{Ll})", "$1" + CUT),
-        (rf"[.!?।؟{STOP}]+(?=[{_CJK}{_THAI}])", "$0" + CUT),
-        (r"[。！？｡…]*[。！？｡][”’」』）】》〉\"\)\]]*", "$0" + CUT),
-        # in Thai a space ends a sentence unless it touches a digit or a Latin letter
-        (rf"(?<=[{_THAI}][\"”’)\]」!?…]{{0,3}})\s+(?=[\"“‘(\[「]{{0,3}}[{_THAI}])", "$0" + CUT),
+        r"(?<=[\p{Ll}\p{N}])[.!?]+(?=\p{Lu}\p{Ll})",
+        rf"[.!?।؟{STOP}]+(?=[{_CJK}{_THAI}])",
     ]
-    for pattern, to in marks:
-        s = F.regexp_replace(s, pattern, to)
-    return F.regexp_replace(s, HARD, HARD + CUT)
+    df = _step(df, rf"(?=[.!?…؟۔।॥{STOP}])(?:{'|'.join(ends)})", "$0" + CUT)
+    df = _step(df, r"[。！？｡…]*[。！？｡][”’」』）】》〉\"\)\]]*", "$0" + CUT, _has("。！？｡"))
+    # in Thai a space ends a sentence unless it touches a digit or a Latin letter; its letters begin with these bytes
+    thai = reduce(or_, (F.contains(F.col("_s").cast("binary"), F.lit(bytearray(b))) for b in (b"\xe0\xb8", b"\xe0\xb9")))
+    df = _step(df, rf"(?<=[{_THAI}][\"”’)\]」!?…]{{0,3}})\s+(?=[\"“‘(\[「]{{0,3}}[{_THAI}])", "$0" + CUT, thai)
+    return df.withColumn("_s", F.replace("_s", F.lit(HARD), F.lit(HARD + CUT)))
+
+
+#: What may stand around a sentence without belonging to it: white space of all kinds, and the signs for what was cleared.
+_AROUND = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff" + BLANK + HARD
+_CHUNK = 256
+
+
+def _sums_before(lengths: Column) -> Column:
+    """For each number the sum of those before it, in chunks, so that the work stays in proportion to the length."""
+
+    def plain(ns: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("sum"))
+        return F.aggregate(ns, start, lambda s, n: F.struct(F.concat(s["out"], F.array(s["sum"])).alias("out"), (s["sum"] + n).alias("sum")))["out"]
+
+    def chunked(ns: Column) -> Column:
+        total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, n: s + n)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ns) - 1) / _CHUNK).cast("int")), lambda i: F.slice(ns, i * _CHUNK + 1, _CHUNK))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, plain(F.transform(p, total)), lambda c, b: F.transform(plain(c), lambda x: x + b))))
+
+    return let(lengths, lambda ns: F.when(F.size(ns) <= _CHUNK, plain(ns)).otherwise(chunked(ns)))
 
 
 def sentences(df: DataFrame, id_col: str = "request_id", text: str = "text") -> DataFrame:
@@ -140,15 +177,13 @@ def sentences(df: DataFrame, id_col: str = "request_id", text: str = "text") ->
 
     Null and blank texts, and texts of code and tables only, give no rows; a text of any length is read whole. Rows
     repeated whole come out as often as they occur. Extra columns are not read, whatever their names. Texts that hold the
-    five private-use signs used here have them taken for blanks."""
-    rows = df.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")).where("_text is not null")
-    clean = F.translate(F.col("_text"), BLANK + HARD + CUT + MASK + STOP, "     ")
-    pieces = rows.select(id_col, "_row", "_text", F.posexplode(F.split(_cut(_masked(_lines(clean))), CUT)).alias("_at", "_piece"))
-    by_row = Window.partitionBy("_row").orderBy("_at")
-    before = F.coalesce(F.sum(F.length("_piece")).over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    outer = rf"(?U)^[\s{BLANK}{HARD}​﻿]+"
-    left = F.length("_piece") - F.length(F.regexp_replace("_piece", outer, ""))
-    kept = F.regexp_replace(F.regexp_replace("_piece", outer, ""), rf"(?U)[\s{BLANK}{HARD}​﻿]+$", "")
-    placed = pieces.withColumn("_before", before).where(F.col("_piece").rlike(r"[\p{L}\p{N}]"))
-    placed = placed.withColumn("start", (F.col("_before") + left).cast("bigint")).withColumn("end", (F.col("start") + F.length(kept)).cast("bigint"))
-    return placed.select(id_col, F.col("_at").alias("pos"), "start", "end", F.expr("substring(_text, cast(start + 1 as int), cast(end - start as int))").alias("sentence"))
+    five private-use signs used here have them taken for blanks. Texts are worked on where they are; nothing is shuffled."""
+    rows = df.select(F.col(id_col), F.col(text).alias("_text")).where("_text is not null")
+    lines = rows.withColumn("_s", _lines(F.translate(F.col("_text"), BLANK + HARD + CUT + MASK + STOP, "     ")))
+    parts = _cut(_masked(lines)).withColumn("_pieces", F.split("_s", CUT))
+    placed = parts.withColumn("_before", _sums_before(F.transform("_pieces", lambda p: F.length(p).cast("bigint"))))
+    pieces = placed.select(id_col, "_text", F.posexplode(F.arrays_zip("_pieces", "_before")).alias("pos", "_p")).select(id_col, "_text", "pos", F.col("_p._pieces").alias("_piece"), F.col("_p._before").alias("_before"))
+    begun = pieces.where(F.col("_piece").rlike(r"[\p{L}\p{N}]")).withColumn("_left", F.ltrim("_piece", F.lit(_AROUND)))
+    start = F.col("_before") + F.length("_piece") - F.length("_left")
+    found = begun.withColumn("start", start.cast("bigint")).withColumn("end", (F.col("start") + F.length(F.rtrim("_left", F.lit(_AROUND)))).cast("bigint"))
+    return found.select(id_col, "pos", "start", "end", F.expr("substring(_text, cast(start + 1 as int), cast(end - start as int))").alias("sentence"))

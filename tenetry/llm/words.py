@@ -11,6 +11,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tenetry.functions.text import let  # noqa: F401 - used by the operators that read words
+
 #: Names under which a statement may list its parts.
 FIELD_NAMES = ("subject", "relation", "object", "since", "unit")
 _FIELD = r"^[^\p{L}\p{N}:=]*(?i:" + "|".join(FIELD_NAMES) + r")[^\p{L}\p{N}:=]*[:=]"
@@ -18,11 +20,6 @@ _BREAKS = ";|\n\r\x0b\x0c\x85\u2028\u2029"
 _PARTS = f"[{_BREAKS}]+"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, also where the body's own lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def norm(text: Column) -> Column:
     """The words of a text joined by single spaces; '' when it has none."""
     return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))

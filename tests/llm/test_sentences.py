@@ -71,3 +71,25 @@ def test_long_quotations(spark, n):
         got.setdefault(r["request_id"], []).append(r["sentence"])
     assert len(got.pop(9)) == n + 1
     assert got == {i: ["It starts.", x, "It ends."] for i, x in enumerate(whole)}
+
+
+def test_long_addresses_and_attributions(spark):
+    """No bound on what an address or an attribution may be made of."""
+    url, host, local = "https://h.example/" + "a.b/" * 500 + "end.html", ".".join(["sub"] * 80) + ".example", ".".join(["first"] * 60)
+    far = "「走吧。」" + "那位站在门口很久没有开口的年轻人终于轻声" + "说道。"
+    texts = [f"See {url}. It loads.", f"Write to {local}@{host}. It works.", f"{far}雨停了。"]
+    got = [[] for _ in texts]
+    for r in sentences(spark.createDataFrame(list(enumerate(texts)), "request_id long, text string")).orderBy("start").collect():
+        got[r["request_id"]].append(r["sentence"])
+    assert got == [[f"See {url}.", "It loads."], [f"Write to {local}@{host}.", "It works."], [far, "雨停了。"]]
+
+
+def test_quotation_of_a_hundred_thousand_signs(spark):
+    whole = "“" + "It is so. " * 10_000 + "It ends.” he said."
+    df = spark.createDataFrame([(1, f"One. {whole} Two.")], "request_id long, text string")
+    assert [r["sentence"] for r in sentences(df).orderBy("start").collect()] == ["One.", whole, "Two."]
+
+
+def test_nothing_is_shuffled(spark):
+    plan = sentences(spark.createDataFrame([(1, "A b.")], "request_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
