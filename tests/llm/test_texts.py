@@ -137,3 +137,75 @@ def test_forms():
     assert ("address", "246 W. Hollin Ave.") in found("went to 246 W. Hollin Ave. and asked")
     assert ("person", "Brenkwick, Perldan") in found("The badge of Brenkwick, Perldan lists ID")
     assert ("person", "Josbet van der Massquist") in found("asked for Josbet van der Massquist.")
+
+
+def test_plain_addresses_need_no_context(spark):
+    """What the words beside it are does not decide whether a valid address is one, in whatever mix of texts."""
+    texts = ["Contact Anna Quist at anna.q@mail.example"] * 40 + ["She emailed ops3@bank.example about it."] * 20 + ["Reply: x.y@a-b.co.example!"] + ["me (AT) host (DOT) example", "we [AT] hub [DOT] example", "i AT hub DOT example now", "u{at}hub.example"]
+    rows = list(enumerate(texts))
+    found = {(r["doc_id"], texts[r["doc_id"]][r["span_start"] : r["span_end"]]) for r in pii.mentions(docs(spark, rows)).where("kind = 'email'").collect()}
+    want = {(i, "anna.q@mail.example") for i in range(40)} | {(i, "ops3@bank.example") for i in range(40, 60)}
+    want |= {(60, "x.y@a-b.co.example"), (61, texts[61]), (62, texts[62]), (63, "i AT hub DOT example"), (64, texts[64])}
+    assert found == want
+    alone = pii.mentions(docs(spark, [(1, "She emailed ops3@bank.example about it, not git@host or a@2.1.")])).collect()
+    assert [r["kind"] for r in alone] == ["email"]
+
+
+#: Sentences of one mention each; {} is the mention. The second half is never seen beside the first.
+SEEN = {
+    "person": ["Dr. {} opened the meeting.", "According to {} it rained.", "Please contact {} today.", "Signed by {}, in haste."],
+    "email": ["Mail {} for help.", "Her e-mail: {} (work)."],
+    "phone": ["Call {} after nine.", "Telephone: {} or come by."],
+    "id_number": ["Her passport no. {} was read out.", "SSN: {} as filed."],
+    "address": ["He lives at {} now.", "Our address is {} again."],
+}
+HELD_OUT = {
+    "person": ["Yesterday {} won the race.", "A letter from Mrs. {} came."],
+    "email": ["They answered from {} at once.", "You may try {} instead."],
+    "phone": ["My number is {} at home.", "Fax {} is broken."],
+    "id_number": ["The social security number {} is hers.", "Give your tax id {} there."],
+    "address": ["We moved to {} in May.", "Ship it to {} please."],
+}
+
+
+def test_held_out_templates(spark):
+    rng = random.Random(3)
+    given, family = "Alda Boris Carla Dmitro Edda Fausto Greta Hanno Irma Jory".split(), "Ashdown Bellmont Corvino Dunstan Eckhart Farrow Gallard Hollis Ivers Jansen".split()
+    value = {
+        "person": lambda: f"{rng.choice(given)} {rng.choice(family)}",
+        "email": lambda: f"{rng.choice(given).lower()}{rng.randrange(99)}@{rng.choice(family).lower()}.example",
+        "phone": lambda: f"({rng.randint(201, 989)}) 555-{rng.randint(1000, 9999)}",
+        "id_number": lambda: f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "address": lambda: f"{rng.randint(1, 999)} {rng.choice(family)} {rng.choice(['Street', 'Lane', 'Avenue'])}",
+    }
+    plain = ["The Harbour Council met in Upper Town.", "Version 12.4.118 took 9 minutes.", "Order no. 5530-221-9 has shipped.", "Every Monday the Old Mill opens.", "It holds 4400 tonnes of grain."]
+    rows, want = [], set()
+    for d in range(600):
+        templates, kind = (SEEN if d < 300 else HELD_OUT), rng.choice(list(SEEN))
+        before, after = rng.choice(templates[kind]).split("{}")
+        v, lead = value[kind](), rng.choice(plain) + " "
+        rows.append((d, lead + before + v + after + " " + rng.choice(plain)))
+        want.add((d, kind, len(lead + before), len(lead + before) + len(v)))
+    got = {(r["doc_id"], r["kind"], r["span_start"], r["span_end"]) for r in pii.mentions(docs(spark, rows)).collect()}
+    new, found = {w for w in want if w[0] >= 300}, {g for g in got if g[0] >= 300}
+    assert len(new & found) >= 0.9 * len(new) and len(new & found) >= 0.9 * len(found)
+
+
+def test_other_scripts(spark):
+    cases = [
+        ("Паспорт 45 08 123456, тел. +7 495 123-45-67.", [("id_number", "45 08 123456"), ("phone", "+7 495 123-45-67")]),
+        ("Г-н Иван Петров проживает на ул. Садовая, д. 12, кв. 5.", [("person", "Иван Петров"), ("address", "ул. Садовая, д. 12, кв. 5")]),
+        ("联系人：王小明，电话：+86 10 8123 4567，护照号码：E12345678，地址：北京市朝阳区建国路88号。", [("person", "王小明"), ("phone", "+86 10 8123 4567"), ("id_number", "E12345678"), ("address", "北京市朝阳区建国路88号")]),
+        ("氏名：山田太郎。住所は東京都千代田区丸の内1丁目2番3号です。", [("person", "山田太郎"), ("address", "東京都千代田区丸の内1丁目2番3号")]),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)]
+    got = [set() for _ in cases]
+    for r in pii.mentions(docs(spark, rows)).collect():
+        got[r["doc_id"]].add((r["kind"], cases[r["doc_id"]][0][r["span_start"] : r["span_end"]]))
+    assert got == [set(w) for _, w in cases]
+
+
+def test_redaction_of_repeated_ids(spark):
+    rows = [(7, "Mail a.b@mail.example now."), (7, "Nothing here."), (7, None), (8, "Mail a.b@mail.example now.")]
+    shuffled = docs(spark, rows).repartition(3, "text").where("doc_id > 0")
+    assert sorted((r["doc_id"], r["text"] or "") for r in pii.redact(shuffled).collect()) == [(7, ""), (7, "Mail [EMAIL] now."), (7, "Nothing here."), (8, "Mail [EMAIL] now.")]
