@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of one group that may share a salt.
+ROWS_PER_SALT, LEAST_SALTS = 500_000, 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,11 +95,13 @@ def salt_of(col: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
 
 
-def assign_groups(rows: DataFrame, keys: list[str], id_col: str, salts: int = 32) -> DataFrame:
-    """Add ``group_id`` (smallest id) and ``copies`` of each key group to every row.
+def assign_groups(rows: DataFrame, keys: list[str], id_col: str, count: int) -> DataFrame:
+    """Add ``group_id`` (smallest id) and ``copies`` of each key group to every row; there are ``count`` rows at most.
 
     Skew-safe: rows are shuffled on (keys, salt), counted per salt, the small salt totals are merged
     per key, and the totals travel back over the salts, so no task ever holds a whole hot group."""
+    # even if all rows are one group, a salt of it holds no more than ROWS_PER_SALT on average
+    salts = max(LEAST_SALTS, math.ceil(count / ROWS_PER_SALT))
     # one shuffle, reused by the totals and by the rows
     salted = rows.withColumn("_salt", salt_of(id_col, salts)).repartition(*keys, "_salt")
     part = salted.groupBy(*keys, "_salt").agg(F.min(id_col).alias("_min"), F.count(F.lit(1)).alias("_n"))
