@@ -4,12 +4,14 @@ Bloom filters of once- and repeatedly-seen canonical hashes are built per partit
 segment; only rows whose hash may repeat are shuffled for exact grouping, all others are singletons.
 
 A filter is a run of segments; a hash picks one segment and sets two bits in it. A merged bit is
-"repeated" when one partition saw it twice or two partitions saw it at all. The filter's size follows the
-row count up to ``max_bits``, which bounds what is broadcast; a fuller filter only sends more rows to
-the exact grouping, never fewer, so the result does not depend on its size."""
+"repeated" when one partition saw it twice or two partitions saw it at all. A filter is broadcast and has ``max_bits``
+bits at most. More rows than it serves are hashed into a table that is parted by ranges of the hash, and each range is
+gone through with a filter of its own, so the share of rows that may repeat stays the same at any size."""
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenetry.llm.words import canonical_hashes
-from tenetry.session import assign_groups
+from tenetry.session import Folder, assign_groups, materialize, shared_dir
 
 SEGMENT_BITS = 1 << 14
 MAX_BITS = 1 << 28
@@ -84,17 +86,42 @@ def _bit(shift: int) -> Column:
     return F.expr(f"shiftrightunsigned(get(bits, cast(shiftright({at}, 6) as int)), cast({at} & 63 as int)) & 1")
 
 
-def split_repeats(rows: DataFrame, count: int, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with ``_h1``, parted into those that surely occur once and those that may repeat."""
-    bits = min(max_bits, 1 << max(14, (count * BITS_PER_ROW - 1).bit_length()))
-    segments = max(1, bits // SEGMENT_BITS)
+def _asked(rows: DataFrame, segments: int) -> DataFrame:
+    """``rows`` with ``_maybe``: whether the hash was seen more than once, as far as the filter tells."""
     found = repeat_filter(rows.select("_h1"), segments)
     # at most max_bits / 8 bytes, whatever the input
     # the modulus is taken on the unsigned value, as when the filter was built
     seg = F.expr(f"cast(pmod(pmod(shiftrightunsigned(_h1, 1), {segments}) * 2 + (_h1 & 1), {segments}) as int)")
     asked = rows.withColumn("segment", seg).join(F.broadcast(found), "segment", "left")
-    flagged = asked.withColumn("_maybe", F.coalesce((_bit(_SHIFTS[0]) + _bit(_SHIFTS[1])) == 2, F.lit(False))).drop("segment", "bits")
-    return flagged.where("not _maybe").drop("_maybe"), flagged.where("_maybe").drop("_maybe")
+    return asked.withColumn("_maybe", F.coalesce((_bit(_SHIFTS[0]) + _bit(_SHIFTS[1])) == 2, F.lit(False))).drop("segment", "bits")
+
+
+def split_repeats(rows: DataFrame, count: int, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``_h1``, parted into those that surely occur once and those that may repeat.
+
+    The rows are hashed once, into a table in the shared folder."""
+    spark = rows.sparkSession
+    ranges = max(1, math.ceil(count * BITS_PER_ROW / max_bits))
+    bits = min(max_bits, 1 << max(14, (math.ceil(count / ranges) * BITS_PER_ROW - 1).bit_length()))
+    segments = max(1, bits // SEGMENT_BITS)
+    if ranges == 1:
+        flagged = _asked(materialize(rows, "hashed"), segments)
+        return flagged.where("not _maybe").drop("_maybe"), flagged.where("_maybe").drop("_maybe")
+    # the range is taken from bits that neither segments nor places in them use much of; rows without a hash join the first
+    path = f"{shared_dir(spark)}/hashed-{uuid.uuid4().hex}"
+    part = F.coalesce(F.pmod(F.xxhash64("_h1"), F.lit(ranges)), F.lit(0)).cast("int")
+    rows.withColumn("_range", part).write.partitionBy("_range").parquet(f"{path}/rows")
+    for i in range(ranges):
+        there = Folder(spark, f"{path}/rows").names(f"_range={i}")
+        if there:  # one range after another, so that one filter is held at a time
+            one = spark.read.schema(rows.schema).parquet(f"{path}/rows/_range={i}")
+            _asked(one, segments).write.partitionBy("_maybe").parquet(f"{path}/asked/{i}")
+    sides = []
+    for kind in ("false", "true"):
+        names = [n for n in Folder(spark, f"{path}/asked").names() if Folder(spark, f"{path}/asked/{n}").names(f"_maybe={kind}")]
+        paths = [f"{path}/asked/{n}/_maybe={kind}" for n in names]
+        sides.append(spark.read.schema(rows.schema).parquet(*paths) if paths else spark.createDataFrame([], rows.schema))
+    return sides[0], sides[1]
 
 
 def collapse(df: DataFrame, statement: str = "statement", id_col: str = "id", max_bits: int = MAX_BITS, keep: list[str] | None = None) -> DataFrame:
@@ -105,7 +132,8 @@ def collapse(df: DataFrame, statement: str = "statement", id_col: str = "id", ma
     Other columns of ``df`` are never read, whatever their names. An empty table gives an empty result."""
     h1, h2 = canonical_hashes(F.col(statement))
     rows = df.select(F.col(id_col), *(F.col(c) for c in keep or []), h1.alias("_h1"), h2.alias("_h2"))
-    sure, maybe = split_repeats(rows, df.count(), max_bits)
-    grouped = assign_groups(maybe, ["_h1", "_h2"], id_col)
+    count = df.count()
+    sure, maybe = split_repeats(rows, count, max_bits)
+    grouped = assign_groups(maybe, ["_h1", "_h2"], id_col, count)
     cols = [id_col, *(keep or [])]
     return grouped.select(*cols, "group_id", "copies").unionByName(sure.select(*cols, F.col(id_col).alias("group_id"), F.lit(1).cast("bigint").alias("copies")))
