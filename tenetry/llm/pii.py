@@ -173,17 +173,19 @@ def _addresses(t: str) -> Iterator[tuple]:
         words = re.findall(rf"[{_UP}][{_UP}{_LO}'-]+", s)
         ctx = _vote(bool(_L["address"][0].search(left)), bool(_L["address"][1].search(left)))
         yield "address", m.start(), end, 1 if re.search(r"\d{4}", s) or m.group("fr") or m.group("es") or ctx > 0 else 0, ctx, shape, [w.lower() for w in words[:1] + words[-1:]]
-    if _OTHER.search(t):
+    if _PLACES_OTHER.search(t):
         for m in ADDRESS_OTHER.finditer(t):
             ctx = _vote(bool(_L["address"][0].search(_left(t, m.start()))), False)
             yield "address", m.start(), m.end(), 1, ctx, m.lastgroup, [m.group(0)[:4]]
 
 
-_OTHER = re.compile(r"[\u0400-\u04ff\u4e00-\u9fff]")
+#: What any name or address in these scripts has, looked for before the patterns are.
+_NAMES_OTHER = re.compile(r"[\u0410-\u042f]|姓名|联系人|聯絡人|氏名|担当者|先生|女士|さん|様|성명")
+_PLACES_OTHER = re.compile(r"[\u0410-\u042f]|[路街道巷]\d|\d丁目|\d番地|\d[-－]\d+[-－]\d")
 
 
 def _names(t: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
-    if _OTHER.search(t):
+    if _NAMES_OTHER.search(t):
         for m in NAME_OTHER.finditer(t):
             a, b = m.span()
             if not any(a < y and x < b for x, y in taken):
