@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenetry.functions import numeric, text
 from tenetry.schema import DEAD_BELOW, DECAY_FLOOR, EVIDENCE, HALF_LIFE_DAYS, HISTORY_LIMIT, REVISION, prior, source_kind
+from tenetry.session import materialize
 
 
 def moment(at: dt.datetime | str) -> Column:
@@ -72,26 +73,36 @@ def last_verified(history: Column, created_at: Column) -> Column:
 def merge_fold(beliefs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Fold the rows of each key in ``order`` into the first: evidence by id, labels, and the evidence-weighted confidence.
 
-    The weight of the folded side counts the evidence it has after taking over the other's, as the model defines it. Parts
-    of a group are reduced to what the fold needs (ids, counts, confidences) before they meet."""
-    row = F.struct(*order, F.col("id").alias("_id"), "confidence", "evidence", "connections")
-    groups = beliefs.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    first = F.get("rows", F.lit(0))
-    start = F.struct(first["confidence"].alias("c"), first["evidence"].alias("e"), first["connections"].alias("l"))
+    The weight of the folded side counts the evidence it has after taking over the other's, as the model defines it. Which
+    evidence is new, and where, is settled by counts over (key, evidence id) and labels by counts over (key, label), both
+    combined on the map side; a group's own task sees four numbers a member, and the evidence of the one belief that is
+    left, which the model keeps in one row. Evidence without an id is new each time; null keys are one key."""
+    rows = beliefs.select(*keys, F.struct(*order, F.col("id").alias("_id")).alias("_at"), "confidence", "evidence", "connections")
+    seen = rows.select(*keys, "_at", F.posexplode("evidence").alias("_n", "_e"))
+    own = F.coalesce(F.col("_e.id"), F.to_json(F.struct("_at", "_n")))
+    fresh = seen.groupBy(*keys, own.alias("_own")).agg(F.min_by(F.struct("_at", "_n", "_e"), F.struct("_at", "_n")).alias("f"))
+    evidence = fresh.groupBy(*keys).agg(F.collect_list(F.struct("f._at", "f._n", "f._e")).alias("_ev"))
+    counts = fresh.groupBy(*keys, F.col("f._at").alias("_at")).agg(F.count(F.lit(1)).alias("_new"))
+    labels = rows.select(*keys, F.explode("connections").alias("_l")).groupBy(*keys).agg(F.array_sort(F.collect_set("_l")).alias("connections"))
+    same = lambda left, right, more=(): [left[k].eqNullSafe(right[k]) for k in (*keys, *more)]
+    slim = rows.select(*keys, "_at", "confidence", F.size("evidence").alias("_b"))
+    slim = slim.join(counts, same(slim, counts, ["_at"]), "left").select(*(slim[k] for k in keys), slim["_at"], "confidence", "_b", F.coalesce("_new", F.lit(0)).alias("_new"))
+    groups = slim.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "confidence", "_b", "_new"))).alias("_m"))
+    first = F.get("_m", F.lit(0))
+    start = F.struct(first["confidence"].alias("c"), first["_b"].cast("bigint").alias("n"))
 
     def step(s: Column, r: Column) -> Column:
-        fresh = F.filter(r["evidence"], lambda e: ~F.exists(s["e"], lambda x: x["id"] == e["id"]))
+        n = s["n"] + r["_new"]
+        a, b = F.greatest(n, F.lit(1)), F.greatest(r["_b"], F.lit(1))
+        return F.struct(((s["c"] * a + r["confidence"] * b) / (a + b)).alias("c"), n.alias("n"))
 
-        def apply(ev: Column) -> Column:
-            a, b = F.greatest(F.size(ev), F.lit(1)), F.greatest(F.size(r["evidence"]), F.lit(1))
-            return F.struct(((s["c"] * a + r["confidence"] * b) / (a + b)).alias("c"), ev.alias("e"), F.array_union(s["l"], r["connections"]).alias("l"))
-
-        return text.let(F.concat(s["e"], fresh), apply)
-
-    folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), start, step)
-    return groups.select(*keys, first["_id"].alias("id"), F.size("rows").alias("merged"), folded.alias("_f")).select(
-        *keys, "id", "merged", F.col("_f.c").alias("confidence"), F.col("_f.e").alias("evidence"), F.array_sort("_f.l").alias("connections")
-    )
+    folded = F.aggregate(F.slice("_m", 2, F.greatest(F.size("_m") - 1, F.lit(1))), start, step)["c"]
+    out = groups.select(*keys, first["_at"]["_id"].alias("id"), F.size("_m").alias("merged"), folded.alias("confidence"))
+    for side in (evidence, labels):
+        out = out.join(side, same(out, side), "left").select(*(out[c] for c in out.columns), *(c for c in side.columns if c not in keys))
+    kept = F.transform(F.sort_array("_ev"), lambda x: x["_e"])
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return out.select(*keys, "id", "merged", "confidence", none(kept, f"array<{EVIDENCE}>").alias("evidence"), none(F.col("connections"), "array<string>").alias("connections"))
 
 
 def supersede(beliefs: DataFrame, pairs: DataFrame, at: dt.datetime | str) -> DataFrame:
@@ -125,7 +136,8 @@ def extract(requests: DataFrame, at: dt.datetime | str, id_col: str = "request_i
     Confidence is the source's prior; the sentence is its own first evidence, added without a shift."""
     found = requests.where("text is not null").select("*", F.posexplode(text.claims(F.col("text"))).alias("_pos", "_claim"))
     found = found.withColumn("source", source_kind(F.col("source"))).withColumn("_c", prior(F.col("source")))
-    key = F.concat_ws(":", F.col(id_col).cast("string"), F.col("_pos").cast("string"))
+    # a request sent again with another text states other claims, and the same claim again is the same belief
+    key = F.concat_ws(":", F.col(id_col).cast("string"), F.col("_pos").cast("string"), F.col("_claim"))
     snippet = F.struct(
         F.md5(F.concat(F.lit("e:"), key)).alias("id"), F.col("_claim").alias("snippet"), F.col("source"), F.col("locator"), F.col("_c").alias("strength"), F.lit(True).alias("supports"), moment(at).alias("created_at")
     )
@@ -140,24 +152,30 @@ def extract(requests: DataFrame, at: dt.datetime | str, id_col: str = "request_i
 def ingest(registry: DataFrame, requests: DataFrame, at: dt.datetime | str, id_col: str = "request_id", across_owners: bool = False) -> DataFrame:
     """The registry after the texts were read: repeats fold into the belief that is stored, or came first, under their key.
 
-    Beliefs of different tiers or scopes are kept apart unless ``across_owners``; then the later one also moves the belief."""
-    fresh = extract(requests, at, id_col)
-    stored = registry.withColumn("_doc", F.lit(-1).cast("bigint")).withColumn("_pos", F.lit(-1))
-    both = stored.unionByName(fresh.withColumn("_doc", F.col("_doc").cast("bigint")).select(*stored.columns)).withColumn("norm_key", text.normalise(F.col("statement")))
+    Beliefs of different tiers or scopes are kept apart unless ``across_owners``; then the later one also moves the belief.
+    A request that is sent again adds nothing for the claims it made before. Of the registry only the rows whose key the
+    texts touch are moved; all others pass as they are."""
     keys = ["norm_key"] if across_owners else ["norm_key", "_tier", "_scope"]
-    both = both.withColumn("_tier", F.col("tier")).withColumn("_scope", F.coalesce("scope", F.lit("")))
-    touched = both.groupBy(*keys).agg(F.max((F.col("_doc") >= 0).cast("int")).alias("_new"), F.count(F.lit(1)).alias("_n"))
-    marked = both.join(touched, keys)
-    untouched = marked.where("_new = 0 or _n = 1")
-    folded = merge_fold(marked.where("_new = 1 and _n > 1"), keys, ["_doc", "_pos"])
-    last = marked.where("_new = 1 and _n > 1").groupBy(*keys).agg(F.max_by(F.struct("tier", "scope"), F.struct("_doc", "_pos")).alias("_owner"))
-    base = marked.drop("confidence", "evidence", "connections")
-    merged = folded.join(base, [*keys, "id"]).join(last, keys)
-    merged = record(merged, F.lit(True), "merged", F.lit(None).cast("string"), at)
-    if across_owners:
-        merged = merged.withColumn("tier", F.col("_owner.tier")).withColumn("scope", F.col("_owner.scope"))
+    keyed = lambda df: df.withColumn("norm_key", text.normalise(F.col("statement"))).withColumn("_tier", F.col("tier")).withColumn("_scope", F.coalesce("scope", F.lit("")))
+    fresh = materialize(keyed(extract(requests, at, id_col).withColumn("_doc", F.col("_doc").cast("bigint")).dropDuplicates(["id"])), "claims")
+    stored = keyed(registry.withColumn("_doc", F.lit(-1).cast("bigint")).withColumn("_pos", F.lit(-1)))
+    fresh = fresh.join(registry.select("id"), "id", "left_anti").select(*stored.columns)
+    touched = fresh.select(*keys).distinct()
+    untouched = stored.join(touched, keys, "left_anti")
+    mine = stored.join(touched, keys, "left_semi")
+    # a claim whose own evidence a belief holds already was folded into it before
+    held = mine.select(F.explode("evidence").alias("_e")).select(F.col("_e.id").alias("_eid"))
+    fresh = fresh.withColumn("_eid", F.col("evidence")[0]["id"]).join(held, "_eid", "left_anti").select(*stored.columns)
+    group = materialize(mine.unionByName(fresh), "touched")
+    folded = merge_fold(group, keys, ["_doc", "_pos"])
+    alone, many = folded.where("merged = 1").select("id"), folded.where("merged > 1")
     cols = registry.columns
-    return untouched.select(*cols).unionByName(merged.select(*cols))
+    base = group.drop("confidence", "evidence", "connections")
+    merged = record(many.join(base, [*keys, "id"]), F.lit(True), "merged", F.lit(None).cast("string"), at)
+    if across_owners:
+        last = group.groupBy(*keys).agg(F.max_by(F.struct("tier", "scope"), F.struct("_doc", "_pos", "id")).alias("_owner"))
+        merged = merged.join(last, keys).withColumn("tier", F.col("_owner.tier")).withColumn("scope", F.col("_owner.scope"))
+    return untouched.select(*cols).unionByName(group.join(alone, "id", "left_semi").select(*cols)).unionByName(merged.select(*cols))
 
 
 def remember(beliefs: DataFrame, tier: str, scope: str | None) -> DataFrame:

@@ -97,10 +97,9 @@ def vocabulary_grounding(spark, d):
 
 @query
 def passage_window(spark, d):
-    """For each query the best passage of each text that was sent with the same scope."""
-    q = asked(spark, d).where("query is not null and scope is not null").select("query_id", "query", "scope")
-    t = table(spark, d, "ingest_requests").where("text is not null and scope is not null").select("request_id", "text", "scope")
-    return q.join(t, "scope").select("query_id", "request_id", text.passage_for(F.col("query"), F.col("text")).alias("passage"))
+    """For every claim of a text the passage of the text that bears on it."""
+    found = table(spark, d, "ingest_requests").where("text is not null").select("request_id", "text", F.posexplode(text.claims(F.col("text"))).alias("pos", "claim"))
+    return found.select("request_id", "pos", text.passage_for(F.col("claim"), F.col("text")).alias("passage"))
 
 
 # registry
@@ -358,7 +357,7 @@ def beliefs_about(spark, d):
 
 @query
 def graph_walk(spark, d):
-    return graph.walk(graph.edges(beliefs(spark, d)), _starts(spark, d), 2)
+    return graph.walk(graph.edges(beliefs(spark, d)), _starts(spark, d))
 
 
 @query
@@ -369,45 +368,18 @@ def related(spark, d):
 
 @query
 def shortest_paths(spark, d):
-    found = graph.paths(graph.edges(beliefs(spark, d)), _starts(spark, d), 2)
-    return found.select("start", "node", F.array_join("path", " > ").alias("path"))
-
-
-@query
-def infer(spark, d):
-    b = beliefs(spark, d)
-    return graph.infer(graph.edges(b), b, _starts(spark, d), max_hops=2)
-
-
-@query
-def propagate(spark, d):
-    b = beliefs(spark, d)
-    changes = _starts(spark, d).withColumn("delta", F.lit(-0.3))
-    return graph.propagate(graph.edges(b), b, changes, max_hops=1)
-
-
-# The four above go one step (belief, concept, belief); the next four go as far as the operators' own defaults.
-
-
-@query
-def graph_walk_far(spark, d):
-    return graph.walk(graph.edges(beliefs(spark, d)), _starts(spark, d))
-
-
-@query
-def shortest_paths_far(spark, d):
     found = graph.paths(graph.edges(beliefs(spark, d)), _starts(spark, d))
     return found.select("start", "node", F.array_join("path", " > ").alias("path"))
 
 
 @query
-def infer_far(spark, d):
+def infer(spark, d):
     b = beliefs(spark, d)
     return graph.infer(graph.edges(b), b, _starts(spark, d))
 
 
 @query
-def propagate_far(spark, d):
+def propagate(spark, d):
     b = beliefs(spark, d)
     return graph.propagate(graph.edges(b), b, _starts(spark, d).withColumn("delta", F.lit(-0.3)))
 

@@ -145,6 +145,27 @@ fu as (select *, list_transform(ps, lambda p: case when list_contains({_list(VER
 parts as (select *, len(ps) >= 2 and len(list_filter(ps, lambda p: len(list_filter({_words_of("p")}, lambda w: {_IS_VERB})) = 0)) = 0 and len(list_filter(fs, lambda f: len({_words_of("f")}) < 3)) = 0 as fine from fu)"""
 
 
+def _selected(within: bool = False) -> str:
+    """``win``: of every set of a query's pool that fits its budget the one of lowest energy, as bits; ``lin``: the pool."""
+    return f"""{_retrieve(_ASKED, 12, within)}, m as (select query_id, rank - 1 as pos, id, score, greatest(len({_tokens("statement")}), 1) as cost, {_SETS} as s from hits join b using (id)),
+top as (select query_id, max(score) as peak, count(*) as n from m group by 1), lin as (select query_id, pos, id, cost, score / case when peak = 0 then 1 else peak end as r, s, n from m join top using (query_id)),
+sim as (select x.query_id, x.pos as i, y.pos as j, (x.r + y.r) / 2 * len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) as w
+ from lin x join lin y on x.query_id = y.query_id and x.pos < y.pos where len(x.s) > 0 and len(y.s) > 0),
+sub as (select query_id, unnest(range(0, (1 << n)::bigint)) as bits from top),
+e1 as (select s.query_id, s.bits, sum(case when (bits >> pos) & 1 = 1 then -r else 0 end) as e, sum(case when (bits >> pos) & 1 = 1 then cost else 0 end) as cost from sub s join lin l using (query_id) group by 1, 2),
+ok as (select e1.* from e1 join query_requests q using (query_id) where cost <= coalesce(q.budget, 60)),
+e2 as (select o.query_id, o.bits, any_value(o.e) + coalesce(sum(case when (bits >> i) & 1 = 1 and (bits >> j) & 1 = 1 then w else 0 end), 0) as e from ok o left join sim using (query_id) group by 1, 2),
+win as (select query_id, arg_min(bits, {{'e': round(e, 9), 'n': bit_count(bits), 'b': -list_sum(list_transform(range(12), lambda k: ((bits >> k) & 1) << (11 - k)))}}) as bits, min(round(e, 9)) as e from (select *, bits as bb from e2) group by 1)"""
+
+
+def _fold(key: str, rows: str, first: str) -> str:
+    """``fold``: the rows of each key, numbered by r, taken one by one into the first: evidence ids, labels, confidence."""
+    return f"""fold({key}, id, statement, r, c, ev, labels) as (select {key}, id, statement, r, confidence, ev, connections from {rows} where {first}
+ union all select {key}, id, statement, r, (c * greatest(len(e2), 1) + gc * greatest(len(gev), 1)) / (greatest(len(e2), 1) + greatest(len(gev), 1)), e2, list_distinct(list_concat(labels, gl))
+ from (select f.{key}, f.id, f.statement, g.r, f.c, f.labels, g.confidence as gc, g.ev as gev, g.connections as gl, list_concat(f.ev, list_filter(g.ev, lambda x: not list_contains(f.ev, x))) as e2
+  from fold f join {rows} g on g.{key} = f.{key} and g.r = f.r + 1))"""
+
+
 def sql() -> dict[str, str]:
     out = {
         "p4_found": """with s as (select run_id, started_at, lag(started_at) over (order by started_at, run_id) as prev from index_runs where status = 'succeeded'),
@@ -188,7 +209,7 @@ select id, case when decayed then faded else confidence end as confidence, decay
 select o_orderkey, case when days > 0 and greatest(round(0.8 * power(0.5, days / 180), 6), 0.05) < 0.8 then greatest(round(0.8 * power(0.5, days / 180), 6), 0.05) else 0.8 end as confidence from d""",
         "extract_beliefs": f"""with {_CLAIMS}, c as (select request_id, unnest(range(len(cs))) as pos, unnest(cs) as statement from claims),
 r as (select request_id, {_KIND} as source, tier, scope, connections from ingest_requests)
-select md5(request_id || ':' || pos) as id, statement, {_PRIOR} as confidence, source, coalesce(tier, 'general') as tier, scope,
+select md5(request_id || ':' || pos || ':' || statement) as id, statement, {_PRIOR} as confidence, source, coalesce(tier, 'general') as tier, scope,
  len(list_distinct(list_filter(coalesce(connections, []), lambda x: x is not null and x <> ''))) as n_connections from c join r using (request_id)""",
         "idf": f"with {_IDF} select term, df, round(idf, 6) as idf from idf",
         "postings": f"with {_DOCS} select id, term, tf from post",
@@ -215,25 +236,14 @@ select query_id, id, round(similarity, 4) as similarity from (select *, row_numb
         "graph_edges": f"with {_LIVE_EDGES} select belief_id, concept, label from edges",
         "graph_concepts": f"with {_LIVE_EDGES} select concept, min(label) as label, count(*) as beliefs from edges group by 1",
         "beliefs_about": f"with {_LIVE_EDGES} select belief_id, confidence from edges join b on b.id = belief_id where concept = 'evidence search'",
-        "graph_walk": f"with {_WALK1} select start, 'b:' || start as node, 0 as hops from own union all select distinct start, 'c:' || concept, 1 from hop1 union all select start, 'b:' || belief_id, 2 from hop2",
         "related": f"with {_WALK1} select h.start, h.belief_id as id, 2 as hops, b.confidence, row_number() over (partition by start order by b.confidence desc, b.id) as rank from hop2 h join b on b.id = h.belief_id",
-        "shortest_paths": f"""with {_WALK1} select start, 'b:' || start as node, 'b:' || start as path from own union all select distinct start, 'c:' || concept, 'b:' || start || ' > c:' || concept from hop1
- union all select start, 'b:' || belief_id, 'b:' || start || ' > ' || via || ' > b:' || belief_id from hop2""",
-        "infer": f"""with {_WALK1}, s as (select h.start, h.belief_id as id, via, round(x.confidence * y.confidence, 6) as strength, y.confidence from hop2 h join b x on x.id = h.start join b y on y.id = h.belief_id),
-r as (select *, row_number() over (partition by start order by strength desc, confidence desc, id) as rank from s)
-select start, id, 2 as hops, strength, 'b:' || start || ' > ' || via || ' > b:' || id as chain, rank from r where rank <= 5""",
-        "propagate": f"""with {_WALK1}, s as (select id, confidence, {_SETS} as s from b),
-m as (select h.start, h.belief_id as id, y.confidence, -0.3 * 0.5 * case when len(x.s) > 0 and len(y.s) > 0 then len(list_intersect(x.s, y.s)) * 1.0 / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) else 0 end as d
- from hop2 h join s x on x.id = h.start join s y on y.id = h.belief_id)
-select start, start as id, 0 as hops, round(least(greatest(confidence - 0.3, 0), 1), 6) as confidence from starts join b on b.id = start
- union all select start, id, 1, round(least(greatest(confidence + d, 0), 1), 6) from m where abs(d) >= 1e-9""",
-        "graph_walk_far": f"with {_far(3)} select start, node, hops from far",
-        "shortest_paths_far": f"with {_far(6)} select start, node, array_to_string(path, ' > ') as path from far",
-        "infer_far": f"""with {_far(4)}, s as (select far.start, b.id, hops, round(far.c, 6) as strength, array_to_string(path, ' > ') as chain, b.confidence from far join b on node = 'b:' || b.id where hops > 0),
+        "graph_walk": f"with {_far(3)} select start, node, hops from far",
+        "shortest_paths": f"with {_far(6)} select start, node, array_to_string(path, ' > ') as path from far",
+        "infer": f"""with {_far(4)}, s as (select far.start, b.id, hops, round(far.c, 6) as strength, array_to_string(path, ' > ') as chain, b.confidence from far join b on node = 'b:' || b.id where hops > 0),
 r as (select *, row_number() over (partition by start order by strength desc, hops, confidence desc, id) as rank from s)
 select start, id, hops, strength, chain, rank from r where rank <= 5""",
         # a quarter of 0.3 ends on a half at the seventh place, which round() of a double takes either way; of the digits it is half-up
-        "propagate_far": f"""with {_far(4)}, s as (select id, confidence, {_SETS} as s from b),
+        "propagate": f"""with {_far(4)}, s as (select id, confidence, {_SETS} as s from b),
 m as (select far.start, y.id, hops // 2 as hops, y.confidence, -0.3 * power(0.5, hops // 2) * case when len(x.s) > 0 and len(y.s) > 0 then len(list_intersect(x.s, y.s)) * 1.0 / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) else 0 end as d
  from far join s x on x.id = far.start join s y on node = 'b:' || y.id where hops > 0)
 select start, start as id, 0 as hops, round(least(greatest(confidence - 0.3, 0), 1), 6) as confidence from starts join b on b.id = start
@@ -256,16 +266,43 @@ near as (select *, row_number() over (partition by qkey order by similarity desc
 sc as (select qkey, b.id, similarity, round(similarity * confidence, 6) as score from near join b using (id) where r <= 15 and similarity >= 0.12),
 best as (select *, row_number() over (partition by qkey order by score desc, id) as r from sc)
 select query_id, id, similarity, score from query_requests q join best on best.qkey = 'q' || q.query where r <= 5""",
-        "select_exact": f"""with {_retrieve(_ASKED, 12)}, m as (select query_id, rank - 1 as pos, id, score, greatest(len({_tokens("statement")}), 1) as cost, {_SETS} as s from hits join b using (id)),
-top as (select query_id, max(score) as peak, count(*) as n from m group by 1), lin as (select query_id, pos, id, cost, score / case when peak = 0 then 1 else peak end as r, s, n from m join top using (query_id)),
-sim as (select x.query_id, x.pos as i, y.pos as j, (x.r + y.r) / 2 * len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) as w
- from lin x join lin y on x.query_id = y.query_id and x.pos < y.pos where len(x.s) > 0 and len(y.s) > 0),
-sub as (select query_id, unnest(range(0, (1 << n)::bigint)) as bits from top),
-e1 as (select s.query_id, s.bits, sum(case when (bits >> pos) & 1 = 1 then -r else 0 end) as e, sum(case when (bits >> pos) & 1 = 1 then cost else 0 end) as cost from sub s join lin l using (query_id) group by 1, 2),
-ok as (select e1.* from e1 join query_requests q using (query_id) where cost <= coalesce(q.budget, 60)),
-e2 as (select o.query_id, o.bits, any_value(o.e) + coalesce(sum(case when (bits >> i) & 1 = 1 and (bits >> j) & 1 = 1 then w else 0 end), 0) as e from ok o left join sim using (query_id) group by 1, 2),
-win as (select query_id, arg_min(bits, {{'e': round(e, 9), 'n': bit_count(bits), 'b': -list_sum(list_transform(range(12), lambda k: ((bits >> k) & 1) << (11 - k)))}}) as bits, min(round(e, 9)) as e from (select *, bits as bb from e2) group by 1)
-select l.query_id, l.pos, l.id, l.cost, round(e, 5) as energy from win join lin l using (query_id) where (bits >> pos) & 1 = 1""",
+        "select_exact": f"with {_selected()} select l.query_id, l.pos, l.id, l.cost, round(e, 5) as energy from win join lin l using (query_id) where (bits >> pos) & 1 = 1",
+        "context": f"""with {_selected(True)}, picked as (select l.query_id, l.pos, l.id, l.cost from win join lin l using (query_id) where (bits >> pos) & 1 = 1),
+said as (select p.*, '- ' || statement || ' (' || cast(round(confidence * 100, 0) as int) || '%, ' || case when f = 0 and a = 0 then 'unsupported' when f > 0 and a > 0 then 'disputed' when f > 0 then 'grounded' else 'refuted' end || ')' as line
+ from picked p join (select *, len(list_filter(evidence, lambda e: e.supports)) as f, len(list_filter(evidence, lambda e: not e.supports)) as a from b) b using (id))
+select query_id, count(*) as picked, sum(cost)::bigint as tokens, string_agg(line, chr(10) order by pos) as prompt from said group by 1""",
+        "scoped_vector_topk": f"""with {B}, {_embed(f"select 'b' || id as key, {_TEXT} as text from b where superseded_by is null union all select distinct 'q' || query, query from query_requests where query is not null")},
+sims as (select q.key as qkey, d.key[2:] as id, round(sum(q.weight * d.weight), 9) as similarity from unit q join unit d on q.dim = d.dim and q.key like 'q%' and d.key like 'b%' group by 1, 2),
+near as (select query_id, b.id, similarity, round(similarity * b.confidence, 6) as score, row_number() over (partition by query_id order by similarity desc, b.id) as r
+ from query_requests q join sims s on s.qkey = 'q' || q.query join b on b.id = s.id where (q.tier is null or q.tier = b.tier) and (q.scope is null or q.scope = b.scope)),
+best as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from near where r <= 15 and similarity >= 0.12)
+select query_id, id, score, rank from best where rank <= 5""",
+        "knn_pairs": f"""with {B}, {_embed(f"select id as key, {_TEXT} as text from b where superseded_by is null")},
+sims as (select q.key as q, d.key as d, round(sum(q.weight * d.weight), 9) as similarity from unit q join unit d on q.dim = d.dim and q.key <> d.key where ('0x' || right(q.key, 8))::bigint % 20 = 0 group by 1, 2),
+near as (select *, row_number() over (partition by q order by similarity desc, d) as r from sims)
+select distinct least(q, d) as a, greatest(q, d) as b from near where r <= 10""",
+        "passage_window": f"""with {_CLAIMS}, c as (select request_id, unnest(range(len(cs))) as pos, unnest(cs) as claim from claims),
+w as (select c.request_id, pos, ss, text, list_transform(ss, lambda x: len(list_intersect(list_distinct({_tokens("x")}), list_distinct({_tokens("claim")})))) as shared
+ from c join sents using (request_id) join ingest_requests using (request_id)),
+p as (select *, list_position(shared, list_max(shared)) as best from w)
+select request_id, pos, case when len(ss) <= 2 then text else array_to_string(ss[greatest(best - 1, 1):best], ' ') end as passage from p""",
+        "add_evidence": f"""with recursive {B}, n as (select id as src, superseded_by as id, unnest(range(len(evidence))) as pos, unnest(evidence) as e from b where superseded_by is not null),
+ev as (select id, list(e order by src, pos) as es from n group by 1),
+fold(id, k, c, es) as (select id, 0, confidence, es from b join ev using (id) union all select id, k + 1, (select {_SHIFT} from (select c, es[k + 1] as e)), es from fold where k < len(es)),
+done as (select id, c, len(es) as n from fold where k = len(es))
+select b.id, coalesce(c, confidence) as confidence, len(evidence) + coalesce(n, 0) as n_evidence, least(len(history) + coalesce(n, 0), 100) as n_history from b left join done using (id)""",
+        "merge_fold": f"""with recursive {B}, g as (select *, list_transform(evidence, lambda e: e.id) as ev, {_norm("statement")} as k, row_number() over (partition by {_norm("statement")} order by created_at nulls first, id) as r from b),
+{_fold("k", "g", "r = 1")}
+select k as norm_key, id, r as merged, round(c, 6) as confidence, len(ev) as n_evidence, coalesce(array_to_string(list_sort(labels), '|'), '') as labels from fold f where not exists (select 1 from g where g.k = f.k and g.r = f.r + 1)""",
+        "ingest": f"""with recursive {B}, {_CLAIMS}, c as (select request_id, unnest(range(len(cs))) as pos, unnest(cs) as statement from claims),
+q as (select request_id, {_KIND} as source, tier, scope, list_distinct(list_filter(coalesce(connections, []), lambda x: x is not null and x <> '')) as connections from ingest_requests),
+fresh as (select md5(request_id || ':' || pos || ':' || statement) as id, statement, {_PRIOR} as confidence, [md5('e:' || request_id || ':' || pos || ':' || statement)] as ev, connections, coalesce(tier, 'general') as tier, scope, request_id as doc, pos from c join q using (request_id)),
+every as (select id, statement, confidence, list_transform(evidence, lambda e: e.id) as ev, connections, tier, scope, -1 as doc, -1 as pos from b union all select * from fresh),
+keyed as (select *, {_norm("statement")} || chr(1) || tier || chr(1) || coalesce(scope, '') as k from every),
+g as (select *, row_number() over (partition by k order by doc, pos, id) as r, count(*) over (partition by k) as n, max(doc) over (partition by k) as newest from keyed),
+{_fold("k", "g", "r = 1 and newest >= 0 and n > 1")}
+select id, statement, round(c, 6) as confidence, len(ev) as n_evidence, len(labels) as n_connections from fold f where not exists (select 1 from g where g.k = f.k and g.r = f.r + 1)
+ union all select id, statement, round(confidence, 6), len(ev), len(connections) from g where newest < 0 or n = 1""",
         "contradictions": f"with {B}, {_clashes('select * from b', 0.6)} select affirmed, negated, overlap from clashes",
         "contradiction_winners": f"""with {B}, {_clashes("select * from b", 0.6)},
 ws as (select id, confidence * (1 + coalesce({_WEIGHT.format("true")}, 0) - coalesce({_WEIGHT.format("false")}, 0)) as w from b),

@@ -33,6 +33,7 @@ HALF_LIFE_DAYS = 180
 DECAY_FLOOR = 0.05
 EXHAUSTIVE_LIMIT = 18
 NLI_GATE = 0.25
+NLI_NEIGHBOURS = 10
 STOPWORDS = (
     "a an the is are was were be been being of in on at to for from by with and or but if then than that this these those it its as "
     "can could will would do does did not no nor so such"

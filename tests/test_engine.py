@@ -142,6 +142,87 @@ def test_facade(spark, tmp_path):
         Engine(spark, str(tmp_path / "x")).ask("why?")
 
 
+REQUESTS = "request_id long, text string, source string, locator string, connections array<string>, tier string, scope string"
+
+
+def test_requests_sent_again(spark):
+    """The same claims add nothing; other claims under the same number are beliefs of their own, and no id occurs twice."""
+    send = lambda *texts: spark.createDataFrame([(1, t, "web", None, ["x"], None, None) for t in texts], REQUESTS)
+    empty = spark.createDataFrame([], BELIEF)
+    first = lifecycle.ingest(empty, send("The keel is new. The mast is old."), T)
+    assert first.count() == 2
+    both = lifecycle.ingest(empty, send("The keel is new.", "The mast is old."), T).collect()
+    assert len({r["id"] for r in both}) == 2 == len(both)
+    again = lifecycle.ingest(first, send("The keel is new. The mast is old."), LATER).collect()
+    assert sorted(map(str, again)) == sorted(map(str, first.collect()))
+    more = lifecycle.ingest(first, send("The keel is dry. The mast is old."), LATER).collect()
+    assert len({r["id"] for r in more}) == 3 == len(more)
+    # folded into another belief's evidence, and sent again
+    stored = table(spark, belief("k", "the keel is new", 0.5, [ev("1")]))
+    once = lifecycle.ingest(stored, send("The keel is new."), LATER)
+    assert [len(r["evidence"]) for r in once.collect()] == [2]
+    assert sorted(map(str, lifecycle.ingest(once, send("The keel is new."), LATER).collect())) == sorted(map(str, once.collect()))
+
+
+def test_fold_against_a_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        own = [ev(rng.choice("abcdefgh"), rng.random()) for _ in range(rng.randint(0, 4))]
+        own = list({e[0]: e for e in own}.values()) + ([(None, "s", "web", None, 0.5, True, T)] if rng.random() < 0.2 else [])
+        rows.append(belief(f"{i:02}", rng.choice(["hot", "hot", "x", "y"]), rng.randrange(101) / 100, own, rng.sample("pqrs", rng.randint(0, 3)), scope=rng.choice([None, "s"]), at=T + dt.timedelta(days=rng.randrange(9))))
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[8], r[0])):
+        key = (r[1], r[7])
+        if key not in want:
+            want[key] = [r[0], 1, r[2], list(r[3]), set(r[4])]
+            continue
+        w = want[key]
+        w[3] += [e for e in r[3] if e[0] is None or e[0] not in {x[0] for x in w[3]}]
+        a, b = max(len(w[3]), 1), max(len(r[3]), 1)
+        w[1], w[2], w[4] = w[1] + 1, (w[2] * a + r[2] * b) / (a + b), w[4] | set(r[4])
+    got = lifecycle.merge_fold(table(spark, *rows).repartition(5), ["statement", "scope"], ["created_at"]).collect()
+    assert {(r["statement"], r["scope"]): (r["id"], r["merged"], round(r["confidence"], 9), [e["id"] for e in r["evidence"]], r["connections"]) for r in got} == {
+        k: (w[0], w[1], round(w[2], 9), [e[0] for e in w[3]], sorted(w[4])) for k, w in want.items()
+    }
+
+
+def test_detectors(spark):
+    """A scorer of pairs as a detector, from nearest neighbours to what is done about the clashes."""
+    df = table(spark, belief("a", "the launch was in 1998", 0.9), belief("b", "the launch was in 2004", 0.5), belief("c", "bread rises because of yeast", 0.5))
+    clash = conflict.by_scores(lambda ways: ways.withColumn("p", F.when(F.col("premise").contains("1998"), 0.9).otherwise(0.2)))
+    assert [tuple(r) for r in conflict.get_detector(clash)(df, 0.5).collect()] == [("a", "b", 0.9)]
+    done = conflict.reconcile(df, 0.5, detector=clash).collect()
+    assert [(r["winner"], r["loser"]) for r in done] == [("a", "b")]
+    assert conflict.get_detector("lexical") is conflict.contradictions
+
+
+def test_retrievers_and_kept_vectors(spark, tmp_path):
+    from tenetry.operators import selection
+    from tenetry.operators.vectors import VectorIndex
+
+    rows = [belief("q", "Qubits hold superpositions.", 0.9, tier="user", scope="s"), belief("r", "Rust gives memory safety.", 0.8), belief("g", "Gardens need rain.", 0.7)]
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    assert index.rows().count() == 0
+    assert index.refresh(table(spark, *rows)) == {"embedded": 3, "gone": 0} and index.refresh(table(spark, *rows)) == {"embedded": 0, "gone": 0}
+    changed = [rows[0], belief("r", "Rust is compiled.", 0.8, at=LATER), belief("n", "Night follows day.", 0.6)]
+    assert index.refresh(table(spark, *changed)) == {"embedded": 2, "gone": 1}
+    as_set = lambda df: {(r["id"], r["dim"], round(r["weight"], 9)) for r in df.collect()}
+    fresh = as_set(retrieval.embed(table(spark, *changed), "id", retrieval.indexed_text()))
+    assert as_set(index.rows()) == fresh
+    index.compact()
+    assert as_set(index.rows()) == fresh and as_set(VectorIndex(spark, str(tmp_path / "v")).rows()) == fresh
+    qs = spark.createDataFrame([(1, "qubit superposition", None, None, 20), (2, "compiled rust", "user", "s", 20)], "query_id long, query string, tier string, scope string, budget int")
+    by = retrieval.by_vectors(vectors=index.rows())
+    assert [(r["query_id"], r["id"]) for r in by(table(spark, *changed), qs, 1, False).orderBy("query_id").collect()] == [(1, "q"), (2, "r")]
+    assert [(r["query_id"], r["id"]) for r in by(table(spark, *changed), qs, 1, True).collect()] == [(1, "q")]
+    assert {r["id"] for r in selection.select(table(spark, *changed), qs, retriever=by).collect()} == {"q", "r"}
+    with pytest.raises(ValueError):
+        retrieval.get_retriever("none")
+
+
 def test_owners_stay_apart(spark):
     reqs = [(1, "Coffee is best with milk.", "web", None, [], "user", "alice"), (2, "Coffee is best with milk.", "web", None, [], "user", "bob")]
     df = spark.createDataFrame(reqs, "request_id long, text string, source string, locator string, connections array<string>, tier string, scope string")
