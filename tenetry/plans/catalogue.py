@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenetry.functions import numeric, text
@@ -372,6 +372,25 @@ def shortest_paths(spark, d):
     return found.select("start", "node", F.array_join("path", " > ").alias("path"))
 
 
+@query
+def graph_size(spark, d):
+    return graph.size(graph.edges(beliefs(spark, d)))
+
+
+@query
+def graph_neighbours(spark, d):
+    return graph.neighbours(graph.edges(beliefs(spark, d)))
+
+
+@query
+def connect(spark, d):
+    """How each belief that replaced others hangs together with the next one in the order of ids."""
+    ends = _starts(spark, d)
+    goal = F.lead("start").over(Window.partitionBy(F.substring("start", 1, 1)).orderBy("start"))
+    pairs = ends.withColumn("goal", goal).where("goal is not null")
+    return graph.connect(graph.edges(beliefs(spark, d)), pairs).select("start", "goal", F.array_join("path", " > ").alias("path"))
+
+
 @query
 def infer(spark, d):
     b = beliefs(spark, d)

@@ -46,8 +46,8 @@ def test_queries_go_as_far_as_the_operators(spark, tmp_path, monkeypatch):
         run = lambda name: catalogue.queries()[name](spark, "").collect()
         conf, words = conf_of(rows), {i: set(s.split()) for i, s, *_ in rows}
         far = {s: search(rows, s, 6) for s in ("b00", "b01")}
-        assert {(r["start"], r["node"], r["hops"]) for r in run("graph_walk_far")} == {(s, n, len(p) - 1) for s in far for n, p in far[s].items() if len(p) <= 4}
-        assert {(r["start"], r["node"], r["path"]) for r in run("shortest_paths_far")} == {(s, n, " > ".join(p)) for s in far for n, p in far[s].items()}
+        assert {(r["start"], r["node"], r["hops"]) for r in run("graph_walk")} == {(s, n, len(p) - 1) for s in far for n, p in far[s].items() if len(p) <= 4}
+        assert {(r["start"], r["node"], r["path"]) for r in run("shortest_paths")} == {(s, n, " > ".join(p)) for s in far for n, p in far[s].items()}
         chains, moved = set(), {(s, s, 0, round(max(conf[s] - 0.3, 0), 6)) for s in far}
         for s in far:
             found = []
@@ -62,8 +62,8 @@ def test_queries_go_as_far_as_the_operators(spark, tmp_path, monkeypatch):
                         hops = len(p) // 2
                         moved.add((s, n[2:], hops, round(min(max(conf[n[2:]] - 0.3 * 0.5**hops * len(both) / len(words[s] | words[n[2:]]), 0), 1), 6)))
             chains |= {(s, i, hops, -x, chain, k + 1) for k, (x, hops, _, i, chain) in enumerate(sorted(found)[:5])}
-        assert {(r["start"], r["id"], r["hops"], r["strength"], r["chain"], r["rank"]) for r in run("infer_far")} == chains
-        assert {(r["start"], r["id"], r["hops"], r["confidence"]) for r in run("propagate_far")} == moved
+        assert {(r["start"], r["id"], r["hops"], r["strength"], r["chain"], r["rank"]) for r in run("infer")} == chains
+        assert {(r["start"], r["id"], r["hops"], r["confidence"]) for r in run("propagate")} == moved
         deepest = max(deepest, *(len(p) - 1 for f in far.values() for p in f.values()))
         assert any(c[2] == 4 for c in chains) and any(m[2] == 2 for m in moved)
     assert deepest > 4
