@@ -127,7 +127,8 @@ def candidates(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     frequent = sorted((r["w"] & (2**64 - 1), r["n"]) for r in top.where(F.col("n") > total / FREQUENT_SHARE).collect())  # at most FREQUENT_SHARE rows
     held = spark.sparkContext.broadcast((np.array([k for k, _ in frequent], np.uint64), np.array([n for _, n in frequent], np.int64)))
     hashed = _classed(texts).select("cls", _hashes(F.col("normed")).alias("w"), F.xxhash64("field").alias("field"))
-    sig = hashed.mapInArrow(_signatures(held, tenths), "mask int, cls bigint, sketch bigint").repartition("mask")
+    sig = hashed.mapInArrow(_signatures(held, tenths), "mask int, cls bigint, sketch bigint")
+    # both sides are one shuffle; it is the join's own, so that adaptive execution may split a mask that very many share
     a, b = (sig.select("mask", *(F.col(c).alias(c + s) for c in ("cls", "sketch"))) for s in ("_a", "_b"))
     n = lambda s: F.col(s).bitwiseAND(F.lit(_SIZE_MASK))
     differ = F.bit_count(F.shiftrightunsigned(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")), _SIZE_BITS))
@@ -151,22 +152,34 @@ def _only(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return asked.where(F.lit(1) == F.floor(byte / F.pow(F.lit(2.0), F.pmod(place, F.lit(8)))) % 2).drop("page", "bits")
 
 
+def near_classes(texts: DataFrame, tenths: int = TENTHS) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of classes that are near, compared word by word, once for all their members; and rows (field,
+    key, cls) that hold all members of these classes, and of some others."""
+    pairs = materialize(candidates(texts, tenths), "near-candidates")
+    met = materialize(_only(_classed(texts), pairs), "near-members")
+    # the members of a class have the same words; any of them stands for it
+    one = met.groupBy("cls").agg(F.first("normed").alias("t"), F.first("field").alias("field"))
+    side = lambda s: one.select(F.col("cls").alias(s), F.col("field").alias("field_" + s), F.col("t").alias("t_" + s))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    wa, wb = _distinct_words(F.col("t_a")), _distinct_words(F.col("t_b"))
+    both = both.withColumn("common", F.size(F.array_intersect(wa, wb))).withColumn("total", F.size(wa) + F.size(wb) - F.col("common"))
+    # both sides keep the field, and it is no join key, so that one shuffle of the texts serves both
+    near = both.where(f"common * 10 >= total * {tenths} and least(field_a, field_b) = greatest(field_a, field_b)").select("a", "b")
+    return near, met.select("field", "key", "cls")
+
+
 def near_pairs(texts: DataFrame, tenths: int = TENTHS) -> DataFrame:
     """Rows (field, key_a, key_b), key_a < key_b: texts of one field that are nearly, but not entirely, the same.
 
     ``texts`` has (field, key, text). Similarity is common distinct words over all distinct words of the two, at least
-    ``tenths`` / 10. Texts that say the same apart from formatting are no pair. Null and wordless texts and null keys take
-    no part; a key that occurs twice in a field with different texts is not paired with itself. Extra columns are not read."""
-    pairs = materialize(candidates(texts, tenths), "near-candidates")
-    member = _only(_classed(texts), pairs)
-    side = lambda s: member.select(F.col("cls").alias(s), F.col("field").alias("field_" + s), F.col("key").alias("key_" + s), F.col("normed").alias("t_" + s))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    wa, wb = _distinct_words(F.col("t_a")), _distinct_words(F.col("t_b"))
-    common = F.size(F.array_intersect(wa, wb))
-    met = met.withColumn("common", common).withColumn("total", F.size(wa) + F.size(wb) - F.col("common"))
-    # both sides keep the field, and it is no join key, so that one shuffle of the texts serves both
-    real = met.where(f"common * 10 >= total * {tenths} and key_a <> key_b and least(field_a, field_b) = greatest(field_a, field_b)")
-    return real.select(F.col("field_a").alias("field"), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    ``tenths`` / 10. Texts that say the same apart from formatting are no pair; they are one class, and pairs of classes are
+    spread over the members last. Null and wordless texts and null keys take no part; a key that occurs twice in a field
+    with different texts is not paired with itself. Extra columns are not read."""
+    near, member = near_classes(texts, tenths)
+    real = materialize(near, "near-classes")
+    side = lambda s: member.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("field", "key")))
+    met = real.join(side("a"), "a").join(side("b"), "b").where("key_a <> key_b")
+    return met.select(F.col("field_a").alias("field"), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 
 def belief_texts(beliefs: DataFrame) -> DataFrame:
@@ -180,14 +193,10 @@ def groups(texts: DataFrame, tenths: int = TENTHS, max_rounds: int = 40) -> Data
     """Rows (field, key, group, links): one per text that has a word, with its group and its class's number of near classes.
 
     Groups are the connected parts of the near pairs between classes; ``group`` is a number that all members share. Every
-    round gives each class the least label around it and lets labels follow their own label, so chains halve."""
-    member = _classed(texts)
-    pairs = candidates(texts, tenths)
-    words_of = member.groupBy("cls").agg(F.min("normed").alias("t"))
-    met = pairs.join(words_of.select(F.col("cls").alias("a"), F.col("t").alias("ta")), "a").join(words_of.select(F.col("cls").alias("b"), F.col("t").alias("tb")), "b")
-    wa, wb = _distinct_words(F.col("ta")), _distinct_words(F.col("tb"))
-    met = met.withColumn("common", F.size(F.array_intersect(wa, wb))).withColumn("total", F.size(wa) + F.size(wb) - F.col("common"))
-    real = met.where(f"common * 10 >= total * {tenths}").select("a", "b")
+    round gives each class the least label around it and lets labels follow their own label, so chains halve; if that has
+    not ended after ``max_rounds`` rounds, which would take a chain of some 2^40 classes, it is an error."""
+    real, _ = near_classes(texts, tenths)
+    real = materialize(real, "near-classes")
     edges = materialize(real.unionByName(real.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = edges.select(F.col("a").alias("cls")).distinct().withColumn("group", F.col("cls"))
     for _ in range(max_rounds):
@@ -198,6 +207,8 @@ def groups(texts: DataFrame, tenths: int = TENTHS, max_rounds: int = 40) -> Data
         label = new.select("cls", "group")
         if new.where("old <> `group`").isEmpty():
             break
+    else:
+        raise RuntimeError(f"groups have not settled in {max_rounds} rounds")
     links = edges.groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("links"))
     info = label.join(links, "cls")
-    return member.join(info, "cls", "left").select("field", "key", F.coalesce("group", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    return _classed(texts).join(info, "cls", "left").select("field", "key", F.coalesce("group", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
