@@ -6,21 +6,41 @@ class opens a plain parquet folder or a JDBC table for reading."""
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenetry.operators import lifecycle
 from tenetry.schema import BELIEF, DEAD_BELOW
+from tenetry.session import Folder
 
 
-def open_registry(spark: SparkSession, target: str, table: str = "beliefs") -> "Registry | DataFrame":
-    """A registry folder, or the rows of a database table for a jdbc: address."""
-    if target.startswith("jdbc:"):
-        return spark.read.format("jdbc").options(url=target, dbtable=table).load()
-    return Registry(spark, target)
+#: Columns that a database table keeps as JSON text.
+_NESTED = ("evidence", "connections", "history")
+
+
+def open_registry(spark: SparkSession, target: str, table: str = "beliefs", parts: int = 16, **options: str) -> "Registry | DataFrame":
+    """A registry folder, or the rows of a database table for a jdbc: address.
+
+    A table is read in ``parts`` parts side by side, by ranges of the first sign of the id, which must be hexadecimal."""
+    if not target.startswith("jdbc:"):
+        return Registry(spark, target)
+    starts = [f"{16 * i // parts:x}" for i in range(parts)] if parts <= 16 else [f"{256 * i // parts:02x}" for i in range(parts)]
+    cut = [(a, b) for a, b in zip([None, *starts[1:]], [*starts[1:], None])]
+    where = [" and ".join([*([f"\"id\" >= '{a}'"] if a else []), *([f"\"id\" < '{b}'"] if b else [])]) or "1 = 1" for a, b in cut]
+    rows = spark.read.jdbc(target, table, predicates=where, properties=options)
+    rows = rows.select(*(F.col(c).alias(c.lower()) for c in rows.columns))
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], BELIEF).schema}
+    return rows.select(*((F.from_json(c, kinds[c]) if c in _NESTED else F.col(c).cast(kinds[c])).alias(c) for c in kinds))
+
+
+def to_database(beliefs: DataFrame, target: str, table: str = "beliefs", mode: str = "overwrite", **options: str) -> None:
+    """Write beliefs to a database table; nested columns become JSON text. All or nothing per part, not over all of them."""
+    plain = beliefs.select(*((F.to_json(c) if c in _NESTED else F.col(c)).alias(c) for c in beliefs.columns))
+    # an id is a key, so it must be of a type that compares
+    plain.write.option("createTableColumnTypes", "id VARCHAR(255)").jdbc(target, table, mode=mode, properties=options)
 
 
 def scan(beliefs: DataFrame, min_confidence: float = 0.0, tier: str | None = None, scope: str | None = None, limit: int | None = None, include_retired: bool = False) -> DataFrame:
@@ -56,28 +76,36 @@ def counts(beliefs: DataFrame) -> DataFrame:
 
 
 class Registry:
+    """Snapshots are laid out by tier, so that scans of one tier read its files only."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._folder = Folder(spark, self.path)
+
+    def _pointer(self) -> dict | None:
+        names = self._folder.names("pointer")
+        return json.loads(self._folder.text(f"pointer/{names[-1]}")) if names else None
 
-    def _pointer(self) -> str | None:
-        try:
-            row = self.spark.read.json(f"{self.path}/pointer").orderBy(F.desc("seq")).first()
-        except AnalysisException:
-            return None
-        return None if row is None else row["snapshot"]
+    def last_batch(self) -> int:
+        """The number of the last stream batch that is in the current snapshot; -1 for none."""
+        held = self._pointer()
+        return -1 if held is None else held["batch"]
 
     def rows(self) -> DataFrame:
         """The current snapshot; columns added to the model since it was written are null."""
-        name = self._pointer()
-        return self.spark.createDataFrame([], BELIEF) if name is None else self.spark.read.schema(BELIEF).parquet(f"{self.path}/{name}")
+        held = self._pointer()
+        none = self.spark.createDataFrame([], BELIEF)
+        # the folders' own column is left out; a file holds one tier, so its statistics let a scan of another pass it by
+        return none if held is None else self.spark.read.schema(BELIEF).parquet(f"{self.path}/{held['snapshot']}").select(*none.columns)
 
-    def replace(self, beliefs: DataFrame) -> None:
-        """Write a whole new snapshot and move the pointer to it."""
+    def replace(self, beliefs: DataFrame, batch: int | None = None) -> None:
+        """Write a whole new snapshot and move the pointer to it; the number of a stream batch moves with it, in one step."""
         name = f"snapshot-{uuid.uuid4().hex}"
         cols = self.spark.createDataFrame([], BELIEF).columns
-        beliefs.select(*cols).write.parquet(f"{self.path}/{name}")
-        seq = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1e6)
-        self.spark.createDataFrame([(seq, name)], "seq bigint, snapshot string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
+        beliefs.select(*cols).withColumn("tier_", F.coalesce("tier", F.lit("general"))).write.partitionBy("tier_").parquet(f"{self.path}/{name}")
+        held = self._pointer() or {"seq": 0, "batch": -1}
+        new = {"seq": held["seq"] + 1, "snapshot": name, "batch": held["batch"] if batch is None else batch}
+        self._folder.mark(f"pointer/{new['seq']:012d}", json.dumps(new))
 
     def save_all(self, beliefs: DataFrame, at: dt.datetime | str) -> None:
         """Upsert by id; of rows with one id the last stamped is kept. The write stamps updated_at."""

@@ -16,17 +16,11 @@ from tenetry.sources.registry import Registry
 
 def ingest_stream(requests: DataFrame, registry: Registry, checkpoint: str, at: str) -> StreamingQuery:
     """Start folding a stream of ingest requests into ``registry``; stops by itself when the source is read through."""
-    spark = requests.sparkSession
-    done = f"{registry.path}/batches"
 
     def fold(batch: DataFrame, number: int) -> None:
-        seen = set()
-        path = spark._jvm.org.apache.hadoop.fs.Path(done)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            seen = {r["n"] for r in spark.read.json(done).collect()}
-        if number not in seen:
-            registry.replace(lifecycle.ingest(registry.rows(), batch, at))
-            spark.createDataFrame([(number,)], "n bigint").write.mode("append").json(done)
+        # batches come in order, and the number is stored with the snapshot it is in
+        if number > registry.last_batch():
+            registry.replace(lifecycle.ingest(registry.rows(), batch, at), number)
 
     return requests.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

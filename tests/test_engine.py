@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenetry.operators import conflict, graph, lifecycle, retrieval
-from tenetry.plans.engine import EchoClient, Engine
+from tenetry.plans.engine import EchoClient, Engine, Settings, build_client
 from tenetry.schema import BELIEF
-from tenetry.sources.registry import Registry, open_registry, scan, search
+from tenetry.sources.registry import Registry, open_registry, scan, search, to_database
 
 T = dt.datetime(2025, 1, 1)
 LATER = dt.datetime(2025, 7, 1)
@@ -68,6 +68,16 @@ def test_registry_round_trip(spark, tmp_path):
     assert reg.rows().count() == 2
 
 
+def test_registry_in_a_database(spark, tmp_path):
+    rows = table(spark, *(belief(f"{i:02x}", f"claim {i}", 0.5, [ev("e", 0.25)] if i % 2 else [], ["x"], retired="00" if i == 3 else None) for i in range(0, 256, 5)))
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    to_database(rows, url, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    for parts in (1, 4, 64):
+        back = open_registry(spark, url, parts=parts, driver="org.apache.derby.jdbc.EmbeddedDriver")
+        assert back.rdd.getNumPartitions() == parts
+        assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+
+
 def test_ranking(spark):
     df = table(
         spark,
@@ -230,3 +240,32 @@ def test_owners_stay_apart(spark):
     assert lifecycle.ingest(empty, df, T).count() == 2
     moved = lifecycle.ingest(empty, df, T, across_owners=True).collect()
     assert len(moved) == 1 and moved[0]["scope"] == "bob"
+
+
+def test_settings_and_requests_are_checked(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("TENETRY_BUDGET", "7")
+    monkeypatch.setenv("TENETRY_RETRIEVER", "vector")
+    assert (Settings().budget, Settings().retriever, Settings(budget=9).budget) == (7, "vector", 9)
+    for wrong in ({"budget": 0}, {"floor": 2.0}, {"solver": "none"}, {"retriever": "none"}, {"detector": "none"}):
+        with pytest.raises(ValueError):
+            Settings(**wrong)
+    e = Engine(spark, str(tmp_path / "r"), client=EchoClient())
+    with pytest.raises(ValueError, match="text string"):
+        e.ingest(spark.createDataFrame([(1,)], "request_id long"), T)
+    with pytest.raises(ValueError):
+        e.ask("  ")
+    assert build_client("") is None and isinstance(build_client("echo"), EchoClient) and isinstance(build_client("tenetry.plans.engine:EchoClient"), EchoClient)
+    with pytest.raises(ValueError):
+        build_client("nobody")
+
+
+def test_facade_of_the_graph(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "reg"))
+    e.registry.replace(table(spark, belief("q", "Qubits hold states.", 0.9, labels=["A"]), belief("s", "Qubits hold light.", 0.8, labels=["a!", "B"]), belief("t", "Tides turn and ships run aground.", 0.7, labels=["b"])))
+    assert [r["path"] for r in e.connect("q", "t").collect()] == [["b:q", "c:a", "b:s", "c:b", "b:t"]] and e.connect("q", "none").count() == 0
+    assert [(r["id"], r["strength"]) for r in e.infer("q").collect()] == [("s", 0.72), ("t", 0.504)]
+    assert {r["id"] for r in e.propagate("q", -0.3).collect()} == {"q", "s"}
+    e.add_evidence(spark.createDataFrame([("q", 1, "e1", "s", "web", None, 0.9, True, T)], "belief_id string, seq int, id string, snippet string, source string, locator string, strength double, supports boolean, created_at timestamp_ntz"), LATER)
+    assert e.registry.get("q").first()["confidence"] > 0.9
+    e.remember(e.registry.get("s"), LATER, "user", "me")
+    assert e.registry.get("s").first()["scope"] == "me" and e.health() == {"beliefs": 3}
