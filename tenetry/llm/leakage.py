@@ -8,6 +8,7 @@ the last block picks the patterns that end with it, and all words of those are c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenetry.llm.words import words
+from tenetry.session import materialize
 
 RUN = 12
 #: Windows searched for in one pass (about 8 bytes * run each on every worker); more items take more passes.
@@ -103,17 +105,16 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, max_windows: i
 
     Null, empty and shorter texts on either side match nothing; texts of any length are read whole. Repeated rows give the
     pair once per document id. Items are held on the workers; beyond ``max_windows`` windows they are searched for in
-    several passes over the documents, each with a part of the items (one item of more words makes a pass of its own)."""
+    several passes over the documents' words, each with a part of the items (one item of more words makes a pass of its own)."""
     spark = documents.sparkSession
     hashed = lambda df, key: df.where("text is not null").select(key, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     docs = hashed(documents, "doc_id")
-    passes: list[DataFrame] = []
+    tables: list = []
     block: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def flush() -> None:
-        held = spark.sparkContext.broadcast(vars(Patterns(block, run)))
-        passes.append(docs.mapInArrow(_scan(held), "doc_id bigint, item_id bigint"))
+        tables.append(spark.sparkContext.broadcast(vars(Patterns(block, run))))
 
     for row in hashed(items, "item_id").toLocalIterator():  # one partition at a time, and only what one pass can hold
         w = np.array(row["w"], dtype=np.int64).view(np.uint64)
@@ -124,9 +125,9 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, max_windows: i
             block, size = [], 0
         block.append((row["item_id"], w))
         size += len(w)
-    if block or not passes:
+    if block or not tables:
         flush()
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    if len(tables) > 1:  # the texts are cut into words once, whatever the number of passes
+        docs = materialize(docs, "document-words")
+    passes = [docs.mapInArrow(_scan(held), "doc_id bigint, item_id bigint") for held in tables]
+    return reduce(DataFrame.unionByName, passes).distinct()
