@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenetry.functions import numeric, text
 from tenetry.operators import conflict, graph, lifecycle, retrieval, selection
 from tenetry.plans import oracle
 from tenetry.schema import conform
-from tenetry.session import shared_dir, table
+from tenetry.session import scalar, shared_dir, table
 from tenetry.sources import registry
 from tenetry.streaming import change_capture
 
@@ -384,10 +384,9 @@ def graph_neighbours(spark, d):
 
 @query
 def connect(spark, d):
-    """How each belief that replaced others hangs together with the next one in the order of ids."""
+    """How each belief that replaced others hangs together with the first of them."""
     ends = _starts(spark, d)
-    goal = F.lead("start").over(Window.partitionBy(F.substring("start", 1, 1)).orderBy("start"))
-    pairs = ends.withColumn("goal", goal).where("goal is not null")
+    pairs = ends.withColumn("goal", scalar(ends.agg(F.min("start"))))
     return graph.connect(graph.edges(beliefs(spark, d)), pairs).select("start", "goal", F.array_join("path", " > ").alias("path"))
 
 

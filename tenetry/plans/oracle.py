@@ -241,7 +241,7 @@ select query_id, id, round(similarity, 4) as similarity from (select *, row_numb
         "shortest_paths": f"with {_far(6)} select start, node, array_to_string(path, ' > ') as path from far",
         "graph_size": f"with {_LIVE_EDGES} select count(distinct belief_id) as beliefs, count(distinct concept) as concepts, count(*) as edges from edges",
         "graph_neighbours": f"with {_LIVE_EDGES} select 'b:' || belief_id as node, 'c:' || concept as neighbour from edges union all select 'c:' || concept, 'b:' || belief_id from edges",
-        "connect": f"""with {_far(6)}, pairs as (select start, lead(start) over (partition by left(start, 1) order by start) as goal from starts)
+        "connect": f"""with {_far(6)}, pairs as (select start, (select min(start) from starts) as goal from starts)
 select p.start, p.goal, array_to_string(path, ' > ') as path from pairs p join far on far.start = p.start and node = 'b:' || p.goal""",
         "infer": f"""with {_far(4)}, s as (select far.start, b.id, hops, round(far.c, 6) as strength, array_to_string(path, ' > ') as chain, b.confidence from far join b on node = 'b:' || b.id where hops > 0),
 r as (select *, row_number() over (partition by start order by strength desc, hops, confidence desc, id) as rank from s)
