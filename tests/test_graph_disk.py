@@ -47,3 +47,11 @@ def test_connect_from_either_side(spark):
     for pairs in ([(s, "b03") for s in ids], [("b03", t) for t in ids], [(s, t) for s in ids for t in ids], [("b03", "nobody"), ("nobody", "b03")]):
         got = {(r["start"], r["goal"], tuple(r["path"])) for r in graph.connect(graph.edges(df), spark.createDataFrame(pairs, "start string, goal string")).collect()}
         assert got == {(s, t, tuple(far[s][f"b:{t}"])) for s, t in pairs if f"b:{t}" in far.get(s, {})}
+
+
+def test_paths(spark, hub):
+    _, links, starts = hub
+    n, size = moved(spark, lambda: graph.paths(links, starts))
+    assert n == N * (2 * N + 1) and size < 200_000
+    joined, spelled = (graph.paths(links, starts.limit(1), sep=sep).orderBy("node").collect() for sep in (" > ", None))
+    assert [r["path"] for r in joined] == [" > ".join(r["path"]) for r in spelled]
