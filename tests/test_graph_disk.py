@@ -55,3 +55,16 @@ def test_paths(spark, hub):
     assert n == N * (2 * N + 1) and size < 200_000
     joined, spelled = (graph.paths(links, starts.limit(1), sep=sep).orderBy("node").collect() for sep in (" > ", None))
     assert [r["path"] for r in joined] == [" > ".join(r["path"]) for r in spelled]
+
+
+def test_infer(spark, hub):
+    df, links, starts = hub
+    n, size = moved(spark, lambda: graph.infer(links, df, starts))
+    assert n == 5 * N and size < 200_000
+
+
+def test_infer_rounds_halves_up(spark):
+    rows = [("a", "s", 0.15, ["x"], None), ("b", "s", 0.00003, ["x"], None), ("c", "s", 0.00001, ["x"], None)]
+    df = spark.createDataFrame(rows, "id string, statement string, confidence double, connections array<string>, superseded_by string")
+    got = graph.infer(graph.edges(df), df, spark.createDataFrame([("a",)], "start string")).orderBy("rank").collect()
+    assert [(r["id"], r["strength"]) for r in got] == [("b", 0.000005), ("c", 0.000002)]
