@@ -68,3 +68,9 @@ def test_infer_rounds_halves_up(spark):
     df = spark.createDataFrame(rows, "id string, statement string, confidence double, connections array<string>, superseded_by string")
     got = graph.infer(graph.edges(df), df, spark.createDataFrame([("a",)], "start string")).orderBy("rank").collect()
     assert [(r["id"], r["strength"]) for r in got] == [("b", 0.000005), ("c", 0.000002)]
+
+
+def test_propagate(spark, hub):
+    df, links, starts = hub
+    n, size = moved(spark, lambda: graph.propagate(links, df, starts.withColumn("delta", F.lit(-0.3))))
+    assert n == N * N and size < 200_000
