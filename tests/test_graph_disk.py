@@ -74,3 +74,9 @@ def test_propagate(spark, hub):
     df, links, starts = hub
     n, size = moved(spark, lambda: graph.propagate(links, df, starts.withColumn("delta", F.lit(-0.3))))
     assert n == N * N and size < 200_000
+
+
+def test_walk(spark, hub):
+    _, links, starts = hub
+    n, size = moved(spark, lambda: graph.walk(links, starts))
+    assert n == N * (2 * N + 1) and size < 200_000
