@@ -80,3 +80,9 @@ def test_walk(spark, hub):
     _, links, starts = hub
     n, size = moved(spark, lambda: graph.walk(links, starts))
     assert n == N * (2 * N + 1) and size < 200_000
+
+
+def test_related(spark, hub):
+    df, links, starts = hub
+    n, size = moved(spark, lambda: graph.related(links, df, starts))
+    assert n == N * (N - 1) and size < 200_000
