@@ -44,3 +44,13 @@ def test_memory_of_a_block():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_disk(spark):
+    df = spark.createDataFrame([(i, t, 0.5, [], None) for i, t in texts(2000)], "id string, statement string, confidence double, evidence array<struct<snippet:string>>, superseded_by string").cache()
+    df.count()
+    queries = df.select(F.col("id").alias("query_id"), F.concat(F.col("statement"), F.lit(" "), F.col("id")).alias("query")).limit(100)
+    before = stored(spark)
+    assert len(retrieval.vector_retrieve(df, queries).collect()) == 500
+    size = stored(spark) - before
+    assert size < 1_000_000
