@@ -54,3 +54,15 @@ def test_disk(spark):
     assert len(retrieval.vector_retrieve(df, queries).collect()) == 500
     size = stored(spark) - before
     assert size < 1_000_000
+
+
+def test_disk_of_slices(spark):
+    rows = [(i, t, 0.5, [], None, "user", f"s{k % 4}") for k, (i, t) in enumerate(texts(2000))]
+    df = spark.createDataFrame(rows, "id string, statement string, confidence double, evidence array<struct<snippet:string>>, superseded_by string, tier string, scope string").cache()
+    df.count()
+    queries = df.select(F.col("id").alias("query_id"), F.concat(F.col("statement"), F.lit(" "), F.col("id")).alias("query"), "tier", "scope").limit(100)
+    before = stored(spark)
+    found = retrieval.vector_retrieve(df, queries, within=True).collect()
+    assert len(found) == 500 and all(int(r["id"][1:]) % 4 == int(r["query_id"][1:]) % 4 for r in found)
+    size = stored(spark) - before
+    assert size < 1_000_000
